@@ -24,8 +24,8 @@ sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
            ELSE list_transform(range(1, len(ws) - 2), i -> ws[i:i + 3]) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reach(v, r) AS (SELECT a, a FROM sym UNION SELECT s.b, reach.r FROM reach JOIN sym s ON s.a = reach.v),
 comp AS (SELECT v, min(r) AS r FROM reach GROUP BY 1)
