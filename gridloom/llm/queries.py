@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.session import ship
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +20,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
-           ELSE list_transform(range(1, len(ws) - 2), i -> ws[i:i + 3]) END) AS s FROM w),
+           ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
@@ -35,8 +37,14 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.v = d.doc_id
 """
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.suffix import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_suffix_array_dedup, op5_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
