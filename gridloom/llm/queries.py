@@ -43,8 +43,14 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_array_dedup, op5_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_suffix_array_dedup, op5_minhash_near_dedup, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
