@@ -49,9 +49,125 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mixture
+
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.pieces import piece_report
+
+    return piece_report(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.common import shared_dir
+    from gridloom.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"), shared_dir(spark), least=0)
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::BIGINT, 1)), '') AS payload_digest,
+        max(page_id) OVER (PARTITION BY hex) AS largest FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN largest END AS refers_to
+FROM d
+"""
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.covertree import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+n AS (SELECT a, count(*) AS c FROM link GROUP BY 1),
+reach(v, r) AS (SELECT a, a FROM link UNION SELECT l.b, reach.r FROM reach JOIN link l ON l.a = reach.v),
+comp AS (SELECT v, min(r) AS r FROM reach GROUP BY 1)
+SELECT x.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, coalesce(comp.r, x.vec_id)::BIGINT AS component_id, coalesce(comp.r, x.vec_id) = x.vec_id AS kept
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN comp ON comp.v = x.vec_id
+"""
+
+
+def op9_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.chat import preference_report
+
+    return preference_report(_table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = r"""
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+l AS (SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS i FROM c),
+p AS (SELECT a.conv_id AS pair_id, a.t[1:a.i] AS a, list_append(a.t[1:a.i - 1], {'role': 'assistant', 'text': b.t[b.i].text}) AS b
+      FROM l a JOIN l b ON b.conv_id = a.conv_id + 1 WHERE a.i IS NOT NULL AND b.i IS NOT NULL),
+m AS (SELECT pair_id, a, b, CASE WHEN a[len(a)].text IS NOT DISTINCT FROM b[len(b)].text THEN len(a) ELSE len(a) - 1 END AS n FROM p),
+r AS (SELECT pair_id, n, list_transform(a, lambda x: {'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS a,
+             list_transform(b, lambda x: {'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS b FROM m)
+SELECT pair_id, n::INTEGER AS n_common,
+  array_to_string(list_transform(a[1:n], lambda x: x.head || x.body || chr(10)), '') AS prompt,
+  array_to_string(list_transform(a[n + 1:], lambda x: x.head || x.body || chr(10)), '') AS chosen,
+  array_to_string(list_transform(a[n + 1:], lambda x: length(x.head)::VARCHAR || '-' || (length(x.head) + length(x.body))::VARCHAR), ',') AS chosen_spans,
+  array_to_string(list_transform(b[n + 1:], lambda x: x.head || x.body || chr(10)), '') AS rejected,
+  array_to_string(list_transform(b[n + 1:], lambda x: length(x.head)::VARCHAR || '-' || (length(x.head) + length(x.body))::VARCHAR), ',') AS rejected_spans
+FROM r
+"""
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.license import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    from gridloom.llm import license as lic
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x):
+        x = f"translate({x}, '{lic.UPPER}', '{lic.LOW}')"
+        x = f"regexp_replace({x}, {quote(lic.COPYRIGHT_LINE)}, ' ', 'g')"
+        for old, new in lic.SPELLINGS:
+            x = f"replace({x}, {quote(old)}, {quote(new)})"
+        return f"trim(regexp_replace({x}, {quote(lic.PUNCTUATION)}, ' ', 'g'))"
+
+    rows = lambda xs: ", ".join(f"({i}, {quote(n)}, {quote(t)})" for i, (n, t) in enumerate(xs))
+    return f"""
+WITH texts AS (SELECT sha256({canonical('t')}) AS digest, arg_min(n, i) AS license_id FROM (VALUES {rows(lic.TEXTS)}) v(i, n, t) GROUP BY 1),
+notices AS (SELECT sha256({canonical('t')}) AS digest, arg_min(n, i) AS id FROM (VALUES {rows(lic.NOTICES)}) v(i, n, t) GROUP BY 1),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
+said AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS notices FROM
+  (SELECT doc_id, sha256({canonical('x')}) AS digest FROM line WHERE translate(x, '{lic.UPPER}', '{lic.LOW}') LIKE '%licen%') JOIN notices USING (digest) GROUP BY 1),
+w AS (SELECT doc_id, sha256({canonical('text')}) AS digest FROM d)
+SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices FROM w LEFT JOIN texts USING (digest) LEFT JOIN said USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_array_dedup, op5_minhash_near_dedup, op8_toxicity)}
+    found = (op1_mixing, op2_sentencepiece, op3_suffix_array_dedup, op4_warc, op5_minhash_near_dedup, op6_fingerprints,
+             op7_cover_tree_near_dedup, op8_toxicity, op9_chat_preferences, op10_license_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": OP5_SQL}
+    return {"op4_warc": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_cover_tree_near_dedup": OP7_SQL,
+            "op9_chat_preferences": OP9_SQL, "op10_license_scan": _op10_sql()}
