@@ -44,7 +44,7 @@ NULL_ID = np.iinfo(np.int64).max
 def pack(columns: dict[str, np.ndarray]) -> bytes:
     """Columns as byte planes under zstd: small integers cost no more than their low bytes."""
     head = ";".join(f"{k},{v.dtype.str},{len(v)}" for k, v in columns.items()).encode()
-    planes = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), -1).T.tobytes() for v in columns.values())
+    planes = b"".join(np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes() for v in columns.values())
     return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + planes)
 
 
