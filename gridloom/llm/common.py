@@ -55,15 +55,50 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Links that one task contracts at once.
+CONTRACTED = 250_000
+
+
+def _contracted(batches):
+    """Union-find over one task's links: (u, v) from each node to the least of its set."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    rows = [(x, find(x)) for x in root]
+    for i in range(0, len(rows), 10_000):
+        part = rows[i:i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kind) for k in (0, 1)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, root being the least node reachable.
 
-    ``edges`` has columns a, b of one orderable type. Alternating large-star and
-    small-star rounds: each is a map-side combined minimum and an equi-join, so no
-    node's neighbours are ever gathered in one place. Ends when a round changes nothing.
+    ``edges`` has columns a, b of one orderable type. They are dealt to tasks of about ``CONTRACTED``
+    links, each of which joins what it can by union-find; what several tasks hold is joined by alternating large-star
+    and small-star rounds until a round changes nothing. A round is made of map-side combined minima and
+    equi-joins, so no node's neighbours are ever gathered in one place.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
+    e = cut(edges.where("a <> b").select("a", "b"))
+    tasks = e.count() // CONTRACTED + 1
+    kind = e.schema["a"].dataType.simpleString()
+    e = cut(e.repartition(tasks).mapInArrow(_contracted, f"u {kind}, v {kind}"))
+    if tasks == 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    e = e.where("u <> v")
 
     def mark(x: DataFrame):
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -10,9 +10,10 @@ gives the count of collisions anyway. Pairs with at least ``MATCH_FULL`` of ``WI
 equal coordinates are confirmed on the full shingle sets.
 
 A posting list is not expanded into its pairs. First each member is held against one
-hub of the list. Linked members fall into one component; only lists that still hold
-different components are compared in blocks of at most ``BLOCK`` members, inside a task,
-emitting only pairs of different components that reach the match threshold.
+hub of the list, then, if their components differ, against ``HUBS`` more. Linked members
+fall into one component; lists that still hold different components are compared in
+blocks of at most ``BLOCK`` members, inside a task, emitting only pairs of different
+components that reach the match threshold, at the first list that both are on.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, cut, shingle_sets
 
-WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK = 128, 32, 13, 80, 256
+WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, HUBS = 128, 32, 13, 80, 256, 4
 _R = np.random.default_rng(7)
 _A = _R.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 2**63, WIDTH, dtype=np.uint64)
@@ -102,7 +103,8 @@ def _confirmed(k: int, percent: int):
 def _blocks(batches):
     """Runs of rows sorted by (token, bi, bj): pairs of different labels that match."""
     def pairs(group):
-        key, side, cid, label, sig = group
+        key, side, cid, label, sig, lists = group
+        lists = [set(x) for x in lists]
         sig = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, WIDTH)
         side, at = np.array(side), np.arange(len(cid))
         _, label = np.unique(np.array(label, object), return_inverse=True)
@@ -111,7 +113,8 @@ def _blocks(batches):
             other = at[i + 1:] if same else at[side == key[2]]
             other = other[label[other] != label[i]]
             for j in other[(sig[other] == sig[i]).sum(axis=1) >= MATCH_FULL] if len(other) else ():
-                yield min(cid[i], cid[j]), max(cid[i], cid[j])
+                if min(lists[i] & lists[j]) == key[0]:  # not again in each list that both are on
+                    yield min(cid[i], cid[j]), max(cid[i], cid[j])
 
     def flush(group):
         found = sorted(set(pairs(group))) if group and len(group[2]) > 1 else []
@@ -119,12 +122,12 @@ def _blocks(batches):
 
     group = None
     for batch in batches:
-        for token, bi, bj, own, cid, label, sig in zip(*(batch.column(c).to_pylist() for c in ("token", "bi", "bj", "own", "cid", "label", "sig"))):
+        for token, bi, bj, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "bi", "bj", "own", "cid", "label", "sig", "lists"))):
             if group is None or group[0] != (token, bi, bj):
                 if group and len(group[2]) > 1:
                     yield flush(group)
-                group = ((token, bi, bj), [], [], [], [])
-            for to, x in zip(group[1:], (own, cid, label, sig)):
+                group = ((token, bi, bj), [], [], [], [], [])
+            for to, x in zip(group[1:], row):
                 to.append(x)
     if group:
         yield flush(group)
@@ -167,24 +170,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                 .join(texts.select(F.col("cid").alias("b"), F.col("packed").alias("tb")), "b"))
         return full.select("a", "b", "ta", "tb").mapInArrow(_confirmed(shingle, percent), "a binary, b binary")
 
+    def matching(pairs: DataFrame) -> DataFrame:
+        signed = (pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
+                  .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
+        return cut(confirmed(signed.mapInArrow(_matching, "a binary, b binary")))
+
+    def with_labels(comp: DataFrame) -> DataFrame:
+        return cut(prefix.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label")))
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        return components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
     hubs = prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1")
-    pairs = prefix.join(hubs, "token").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    signed = (pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a")
-              .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    first = cut(confirmed(signed.mapInArrow(_matching, "a binary, b binary")))
-    comp = components(first)
+    comp = components(matching(prefix.join(hubs, "token").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()))
+
+    # Members whose component is not that of their hub meet HUBS more of the list, picked by hash.
+    labelled = with_labels(comp)
+    picks = [F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), F.col("cid").alias("b"), F.col("label").alias("lb"))) for i in range(HUBS)]
+    hubs = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*picks).alias("x")).where("lo <> hi")
+    pairs = labelled.join(hubs.select("token", "x"), "token").select("cid", "label", F.explode("x").alias("x")).where("label <> x.lb")
+    pairs = pairs.select(F.greatest("cid", "x.b").alias("a"), F.least("cid", "x.b").alias("b")).distinct()
+    comp = joined(comp, matching(pairs))
 
     # Lists that still hold more than one component, in blocks.
-    labelled = prefix.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("label"))
+    labelled = with_labels(comp)
     mixed = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
              .where("lo <> hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
-    members = (labelled.join(mixed, "token").join(sig, "cid")
+    lists = prefix.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("lists"))
+    members = (labelled.join(mixed, "token").join(sig, "cid").join(lists, "cid")
                .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
                .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-               .select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "label", "sig"))
+               .select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "label", "sig", "lists"))
     members = members.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "cid")
     second = cut(confirmed(members.mapInArrow(_blocks, "a binary, b binary").distinct()))
-    comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+    comp = joined(comp, second)
 
     least = feats.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
     rooted = least.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))

@@ -445,3 +445,20 @@ def tiles_by_date(spark, sf):
 def percentiles_by_group(spark, sf):
     p = jobs.percentiles(_table(spark, sf, "events"), "value", ["event_type"])
     return p.select("event_type", *[F.round(c, 6).alias(c) for c in ("p5", "p50", "p95")], "count")
+
+
+# ---- the golden pair --------------------------------------------------------------
+
+def golden_pair(spark: SparkSession, side: int) -> DataFrame:
+    """Two square scenes whose values are their column numbers, 0 being nodata; the second starts two columns before the first ends."""
+    n = F.col("id") % (side * side)
+    scene = F.floor(F.col("id") / (side * side)).cast("int")
+    col = (n % side).cast("int")
+    return spark.range(2 * side * side).select(scene.alias("ord"), F.floor(n / side).cast("int").alias("row"), (col + scene * (side - 2)).cast("int").alias("col"), cells.null_if_nodata(col.cast("double"), 0).alias("value"))
+
+
+@query("""WITH g AS (SELECT CASE WHEN i < 999 THEN i ELSE i - 998 END AS v FROM range(1, 1998) r(i))
+SELECT min(v)::DOUBLE AS minval, max(v)::DOUBLE AS maxval, round(avg(v), 6) AS meanval, round(stddev_pop(v), 6) AS stddev, (count(*) * 1000)::BIGINT AS count FROM g""")
+def mosaic_golden_pair(spark, sf):
+    """Statistics of the golden mosaic at 1000 x 1000 pixels a scene."""
+    return _rounded(stats.band_stats(mosaic.merge_pixels(golden_pair(spark, 1000))))

@@ -99,6 +99,8 @@ class RasterSource(DataSource):
 
 
 def read_pixels(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The source above, registered; switches on the session's filter pushdown to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterSource)
     return spark.read.format("raster_pixels").option("paths", json.dumps(paths)).load()
 
