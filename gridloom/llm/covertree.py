@@ -110,6 +110,8 @@ def dual(x: np.ndarray, y: np.ndarray | None, cosine: float):
                 i, j = part[i], b.at[j]
                 if y is None and a is b:
                     i, j = i[i < j], j[i < j]
+                elif y is None:
+                    i, j = np.minimum(i, j), np.maximum(i, j)
                 if len(i):
                     yield i, j
         elif a is b:
