@@ -12,8 +12,9 @@ equal coordinates are confirmed on the full shingle sets.
 A posting list is not expanded into its pairs. First each member is held against one
 hub of the list, then, if their components differ, against ``HUBS`` more. Linked members
 fall into one component; lists that still hold different components are compared in
-blocks of at most ``BLOCK`` members, inside a task, emitting only pairs of different
-components that reach the match threshold, at the first list that both are on.
+blocks of about ``BLOCK`` members, inside a task: signatures first, then the full sets of
+those members that match one of another component, as bitmaps and not as rows a pair.
+Only a forest of links leaves the task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, cut, shingle_sets
 
-WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, HUBS = 128, 32, 13, 80, 256, 4
+WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13, 80, 256, 2_000_000, 4
 _R = np.random.default_rng(7)
 _A = _R.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 2**63, WIDTH, dtype=np.uint64)
@@ -57,7 +58,7 @@ def _features(k: int):
                     low = signature(s)
                     cid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     tokens.append(low[:INDEX].astype(np.int64) * 64 + lanes)
-                    sig.append(low.astype(np.uint16).tobytes())
+                    sig.append(low.astype(np.uint8).tobytes())
                 else:  # a class of its own, so that empty texts do not meet under one key
                     cid.append(hashlib.blake2b(b"%d" % key if key is not None else b"", digest_size=15).digest())
                     tokens.append(None)
@@ -81,7 +82,7 @@ def _matching(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, WIDTH) for c in ("sa", "sb"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("sa", "sb"))
         yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCH_FULL))
 
 
@@ -100,37 +101,78 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _blocks(batches):
-    """Runs of rows sorted by (token, bi, bj): pairs of different labels that match."""
-    def pairs(group):
-        key, side, cid, label, sig, lists = group
-        lists = [set(x) for x in lists]
-        sig = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, WIDTH)
-        side, at = np.array(side), np.arange(len(cid))
-        _, label = np.unique(np.array(label, object), return_inverse=True)
-        same = key[1] == key[2]
-        for i in at if same else at[side == key[1]]:
-            other = at[i + 1:] if same else at[side == key[2]]
-            other = other[label[other] != label[i]]
-            for j in other[(sig[other] == sig[i]).sum(axis=1) >= MATCH_FULL] if len(other) else ():
-                if min(lists[i] & lists[j]) == key[0]:  # not again in each list that both are on
-                    yield min(cid[i], cid[j]), max(cid[i], cid[j])
-
-    def flush(group):
-        found = sorted(set(pairs(group))) if group and len(group[2]) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
-
-    group = None
+def _runs(batches, keys, rest):
+    """Runs of rows of equal keys in sorted batches: (key, one list for each of the other columns)."""
+    key, held = None, None
     for batch in batches:
-        for token, bi, bj, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "bi", "bj", "own", "cid", "label", "sig", "lists"))):
-            if group is None or group[0] != (token, bi, bj):
-                if group and len(group[2]) > 1:
-                    yield flush(group)
-                group = ((token, bi, bj), [], [], [], [], [])
-            for to, x in zip(group[1:], row):
+        for row in zip(*(batch.column(c).to_pylist() for c in (*keys, *rest))):
+            if row[:len(keys)] != key:
+                if held:
+                    yield key, held
+                key, held = row[:len(keys)], [[] for _ in rest]
+            for to, x in zip(held, row[len(keys):]):
                 to.append(x)
-    if group:
-        yield flush(group)
+    if held:
+        yield key, held
+
+
+def _blocks(batches):
+    """Rows sorted by (token, bi, bj, cid): members that match one of another label, each with a bitmap of those after it.
+
+    A pair counts at the first list that both members are on, and not again at the others.
+    """
+    for (token, bi, bj), (side, cid, label, sig, lists) in _runs(batches, ("token", "bi", "bj"), ("own", "cid", "label", "sig", "lists")):
+        n = len(cid)
+        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(n, WIDTH)
+        on = np.full((n, 64), -1, np.int64)  # the lists before this one, by coordinate
+        for i, x in enumerate(lists):
+            x = np.array([t for t in x if t < token], np.int64)
+            on[i, x % 64] = x
+        on = on[:, (on >= 0).any(axis=0)]
+        side, at = np.array(side), np.arange(n)
+        _, same = np.unique(np.array(label, object), return_inverse=True)
+        match = np.zeros((n, n), bool)
+        for i in at if bi == bj else at[side == bi]:
+            other = at[i + 1:] if bi == bj else at[side == bj]
+            other = other[same[other] != same[i]]
+            other = other[(sig[other] == sig[i]).sum(axis=1) >= MATCH_FULL]
+            other = other[~((on[other] == on[i]) & (on[i] >= 0)).any(axis=1)]
+            match[np.minimum(i, other), np.maximum(i, other)] = True
+        some = np.flatnonzero(match.any(axis=0) | match.any(axis=1))
+        if len(some):
+            bits = np.packbits(match[np.ix_(some, some)], axis=1)
+            columns = ([token] * len(some), [bi] * len(some), [bj] * len(some), range(len(some)), [cid[i] for i in some], [label[i] for i in some], [x.tobytes() for x in bits])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OPEN)], schema=_OPEN)
+
+
+_OPEN = pa.schema([("token", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("pos", pa.int32()), ("cid", pa.binary()), ("label", pa.binary()), ("open", pa.binary())])
+OPEN = "token long, bi int, bj int, pos int, cid binary, label binary, open binary"
+
+
+def _verified(k: int, percent: int):
+    """Rows of ``OPEN`` with texts, sorted by (token, bi, bj, pos): links between different labels, as a forest."""
+    def run(batches):
+        z = zstandard.ZstdDecompressor()
+        for _, (cid, label, bits, texts) in _runs(batches, ("token", "bi", "bj"), ("cid", "label", "open", "packed")):
+            sets = list(shingle_sets(pa.array([z.decompress(t).decode() for t in texts], pa.large_string()), k))
+            size = np.array([len(x) for x in sets])
+            edges = np.concatenate([[0], np.cumsum(size)])
+            _, number = np.unique(np.concatenate(sets), return_inverse=True)
+            open_ = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(cid), -1), axis=1, count=len(cid)).astype(bool)
+            _, same = np.unique(np.array(label, object), return_inverse=True)
+            mine, found = np.zeros(len(number), bool), []
+            for i in np.flatnonzero(open_.any(axis=1)):
+                mine[number[edges[i]:edges[i + 1]]] = True
+                for j in np.flatnonzero(open_[i]):
+                    if same[i] == same[j]:
+                        continue
+                    both = int(mine[number[edges[j]:edges[j + 1]]].sum())
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        found.append((cid[i], cid[j]))
+                        same[same == same[j]] = same[i]
+                mine[number[edges[i]:edges[i + 1]]] = False
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+    return run
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
@@ -155,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     feats = cut(docs.mapInArrow(_features(shingle), FEATURES))
-    classes = cut(feats.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "tokens", "sig")).alias("x")).select("cid", "x.*"))
+    classes = cut(feats.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "n_shingles", "tokens", "sig")).alias("x")).select("cid", "x.*"))
     prefix = cut(_prefixes(classes))
     sig = classes.select("cid", "sig")
 
@@ -194,15 +236,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Lists that still hold more than one component, in blocks.
     labelled = with_labels(comp)
-    mixed = (labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-             .where("lo <> hi").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    n_parts = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = classes.select("cid", "sig", "n_shingles")
+    mixed = (labelled.join(sizes.select("cid", "n_shingles"), "cid").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), n_parts.alias("n"))
+             .where("lo <> hi").select("token", F.ceil("n").cast("int").alias("parts")))
     lists = prefix.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("lists"))
     members = (labelled.join(mixed, "token").join(sig, "cid").join(lists, "cid")
                .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
                .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
                .select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "label", "sig", "lists"))
     members = members.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "cid")
-    second = cut(confirmed(members.mapInArrow(_blocks, "a binary, b binary").distinct()))
+    # Only members with an open match travel again, with their texts.
+    open_ = members.mapInArrow(_blocks, OPEN).join(texts, "cid").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "pos")
+    second = cut(open_.select("token", "bi", "bj", "cid", "label", "open", "packed").mapInArrow(_verified(shingle, percent), "a binary, b binary"))
     comp = joined(comp, second)
 
     least = feats.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
