@@ -7,6 +7,8 @@ one document is the only thing that has to fit in a task whole.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 #: ASCII white space: tab to carriage return, and the blank.
 SPACE = np.zeros(256, bool)
@@ -143,6 +145,24 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def settled(run):
+    """A task's generator after which the worker, which Spark keeps for later tasks, gives freed memory back."""
+    @functools.wraps(run)
+    def wrapped(*args, **more):
+        try:
+            yield from run(*args, **more)
+        finally:
+            settle()
+    return wrapped
+
+
+def settle() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Row ranges of at most ``limit`` bytes, or one row."""
     i, n = 0, len(offsets) - 1

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, shingle_sets
+from gridloom.llm.common import components, cut, settled, shingle_sets
 
 WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13, 80, 256, 2_000_000, 4
 _R = np.random.default_rng(7)
@@ -49,6 +49,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 def _features(k: int):
     lanes = np.arange(INDEX, dtype=np.int64)
 
+    @settled
     def run(batches):
         for batch in batches:
             ids, n, cid, tokens, sig = batch.column("doc_id"), [], [], [], []
@@ -70,6 +71,7 @@ def _features(k: int):
     return run
 
 
+@settled
 def _packed(batches):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -87,6 +89,7 @@ def _matching(batches):
 
 
 def _confirmed(k: int, percent: int):
+    @settled
     def run(batches):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -116,6 +119,7 @@ def _runs(batches, keys, rest):
         yield key, held
 
 
+@settled
 def _blocks(batches):
     """Rows sorted by (token, bi, bj, cid): members that match one of another label, each with a bitmap of those after it.
 
@@ -151,6 +155,7 @@ OPEN = "token long, bi int, bj int, pos int, cid binary, label binary, open bina
 
 def _verified(k: int, percent: int):
     """Rows of ``OPEN`` with texts, sorted by (token, bi, bj, pos): links between different labels, as a forest."""
+    @settled
     def run(batches):
         z = zstandard.ZstdDecompressor()
         for _, (cid, label, bits, texts) in _runs(batches, ("token", "bi", "bj"), ("cid", "label", "open", "packed")):

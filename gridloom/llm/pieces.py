@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import settled
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -61,8 +63,7 @@ class Pieces:
         if min(self.byte_ids) < 0:
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
         self.unknown = min(self.scores) - UNKNOWN
-        self.memory: dict[str, list[int]] = {}
-        self.memory_chars = 0
+        self.memory: dict[str, list[int]] = {}  # of one task
 
     def chunk(self, text: str) -> list[int]:
         """Best segmentation of normalised text. Ties go to the longest last piece."""
@@ -149,9 +150,11 @@ def load_model(path: str = MODEL) -> bytes:
     return data
 
 
+@settled
 def _encode(batches, shared, column, digests):
     model = shared.value
     pieces = _loaded(hashlib.sha256(model).hexdigest(), model)
+    pieces.memory.clear()
     for batch in batches:
         texts = batch.column("text")
         for i in range(0, batch.num_rows, 512):
@@ -165,8 +168,10 @@ def _encode(batches, shared, column, digests):
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids_sha256", "round_trip"])
             else:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, column])
+    pieces.memory.clear()
 
 
+@settled
 def _decode(batches, shared, ids, column):
     model = shared.value
     pieces = _loaded(hashlib.sha256(model).hexdigest(), model)

@@ -31,10 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SLICE_BYTES, cut, flat, mix, partitions, slices
+from gridloom.llm.common import cut, flat, mix, partitions, settled, slices
 
 SEED = 16
 BUCKET_BYTES = 16 << 20
+#: Bytes of anchors that a task sorts and combines at once.
+HELD_BYTES = 24 << 20
 SAMPLE_DOCS = 2000
 _U = np.uint64
 _C = np.random.default_rng(11).integers(1, 2**63, 12, dtype=np.uint64) | _U(1)
@@ -175,11 +177,13 @@ def _blocks(rows):
 BLOCKS = "kind int, bucket int, block binary"
 
 
-def _map(batches, length, splitters, flush=4 * SLICE_BYTES):
+@settled
+def _map(batches, length, splitters, held_bytes=HELD_BYTES):
     held, size = [], 0
 
     def out():
         r = stack(held)
+        held.clear()
         order, group, start = _least(_key(r), r["doc"])
         r = {k: v[order] for k, v in r.items()}
         later = r["doc"] > r["doc"][start][group]
@@ -194,9 +198,9 @@ def _map(batches, length, splitters, flush=4 * SLICE_BYTES):
         for r in _records(batch, length):
             held.append(r)
             size += 20 * len(r["a"])
-            if size >= 4 * flush:
+            if size >= held_bytes:
                 yield _blocks(out())
-                held, size = [], 0
+                size = 0
     if sum(len(r["a"]) for r in held):
         yield _blocks(out())
 
@@ -321,6 +325,7 @@ def _without(docs, spans, names):
     return pa.table({c: new[c] if c in new else docs.column(c) for c in names})
 
 
+@settled
 def _packed(batches, buckets):
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat, mix, slices, words
+from gridloom.llm.common import flat, mix, settled, slices, words
 from gridloom.llm.suffix import pack, stack, unpack
 
 PER_CLASS = 6000
@@ -76,6 +76,7 @@ def _pair(before, h):
     return (_slot(before) // PART) * PART + (mix(before * _U(0x9E3779B97F4A7C15) + h) & _U(PART - 1)).astype(np.int64)
 
 
+@settled
 def _pairs(batches):
     """Distinct (context, word, class) of a task's texts with counts, once by context and once by word."""
     held = []
@@ -231,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     model = Model(tables)
     shared = spark.sparkContext.broadcast(model)
 
+    @settled
     def measured(batches):
         for batch in batches:
             x = shared.value.features(batch.column("text"))
@@ -247,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return model
 
 
+@settled
 def _scored(batches, shared, column):
     for batch in batches:
         model = shared.value
