@@ -5,9 +5,11 @@ stamps: name, phase ("start" or "end"), t in seconds. spans: name, started, ende
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.prefix import running
+
 SEPARATOR = ":"
 
 
@@ -40,10 +42,9 @@ def time_average(spans: DataFrame, by=()) -> DataFrame:
 def sweep(spans: DataFrame, by=()) -> DataFrame:
     """by, t, active, until: spans that are active from t until the next event. At a tie ends come before starts."""
     events = spans.select(*by, F.explode(F.array(F.struct(F.col("started").alias("t"), F.lit(1).alias("d")), F.struct(F.col("ended").alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*by, "e.*")
-    # Events of one time and direction are summed first, so a window holds distinct times only.
-    events = events.groupBy(*by, "t", "d").agg(F.sum("d").alias("n"))
-    w = Window.partitionBy(*by).orderBy("t", "d")
-    return events.select(*by, "t", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active"), F.lead("t").over(w).alias("until"))
+    # Events of one time and direction are summed first, so that a span of equal starts is one row.
+    events = events.groupBy(*by, F.col("t").cast("double").alias("t"), "d").agg(F.sum("d").alias("n"))
+    return running(events, by, ["t", "d"], "n").select(*by, "t", F.col("running").alias("active"), F.col("following").alias("until"))
 
 
 def time_elapsed(spans: DataFrame, by=()) -> DataFrame:

@@ -35,8 +35,14 @@ def _window(scenes: DataFrame) -> DataFrame:
     return w.where((F.col("in_left") + F.col("xsize") > 0) & (F.col("in_top") + F.col("ysize") > 0) & (F.col("in_left") < F.col("ncols")) & (F.col("in_top") < F.col("nrows")))
 
 
+def _few(scenes: DataFrame) -> bool:
+    return scenes.limit(BROADCAST_SCENES + 1).count() <= BROADCAST_SCENES
+
+
 def overlaps_theta(blocks: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Every block against every scene: for catalogs small enough to broadcast."""
+    """Every block against every scene. ValueError for more than ``BROADCAST_SCENES`` scenes, which are not broadcast."""
+    if not _few(scenes):
+        raise ValueError(f"more than {BROADCAST_SCENES} scenes; use overlaps_bucketed")
     return _window(blocks.join(F.broadcast(scenes)))
 
 
@@ -57,8 +63,7 @@ def overlaps_bucketed(blocks: DataFrame, scenes: DataFrame, block: int) -> DataF
 
 def overlaps(blocks: DataFrame, scenes: DataFrame, block: int) -> DataFrame:
     """The one of the two whose cost is bounded: the catalog's size is looked at first."""
-    few = scenes.limit(BROADCAST_SCENES + 1).count() <= BROADCAST_SCENES
-    return overlaps_theta(blocks, scenes) if few else overlaps_bucketed(blocks, scenes, block)
+    return _window(blocks.join(F.broadcast(scenes))) if _few(scenes) else overlaps_bucketed(blocks, scenes, block)
 
 
 def read_plan(found: DataFrame) -> DataFrame:

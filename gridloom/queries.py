@@ -161,16 +161,16 @@ def resample_area(spark, sf):
 # ---- catalog, grid and blocks ------------------------------------------------
 
 def _cat(spark, sf) -> DataFrame:
-    """Scenes on a 10 m grid, north up; scene i starts (i * 37) % 400 columns and (i * 53) % 300 rows into it."""
-    p = _table(spark, sf, "part").where("p_partkey < 40")
-    gt = F.struct((F.lit(300000.0) + (F.col("p_partkey") * 37 % 400) * 10.0).alias("x0"), F.lit(10.0).alias("xres"), F.lit(0.0).alias("xskew"),
-                  (F.lit(7000000.0) - (F.col("p_partkey") * 53 % 300) * 10.0).alias("y0"), F.lit(0.0).alias("yskew"), F.lit(-10.0).alias("yres"))
+    """Scenes on a 10 m grid, north up; scene i starts (i * 37) % 4000 columns and (i * 53) % 3000 rows into it."""
+    p = _table(spark, sf, "part")
+    gt = F.struct((F.lit(300000.0) + (F.col("p_partkey") * 37 % 4000) * 10.0).alias("x0"), F.lit(10.0).alias("xres"), F.lit(0.0).alias("xskew"),
+                  (F.lit(7000000.0) - (F.col("p_partkey") * 53 % 3000) * 10.0).alias("y0"), F.lit(0.0).alias("yskew"), F.lit(-10.0).alias("yres"))
     return p.select(F.col("p_partkey").cast("string").alias("scene_id"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_size").alias("ncols"), (F.col("p_size") * 7 % 50 + 1).alias("nrows"),
                     gt.alias("gt"), F.lit("EPSG:32756").alias("srs"), F.lit("uint16").alias("dtype"), F.lit(1).alias("num_bands"), F.lit(0.0).alias("nodata"), F.array(F.lit("athematic")).alias("layer_type"))
 
 
 CAT = """cat AS (SELECT p_partkey::VARCHAR AS scene_id, p_partkey::INTEGER AS ord, p_size AS ncols, p_size * 7 % 50 + 1 AS nrows,
-  (300000 + (p_partkey * 37 % 400) * 10)::DOUBLE AS gx, (7000000 - (p_partkey * 53 % 300) * 10)::DOUBLE AS gy FROM part WHERE p_partkey < 40),
+  (300000 + (p_partkey * 37 % 4000) * 10)::DOUBLE AS gx, (7000000 - (p_partkey * 53 % 3000) * 10)::DOUBLE AS gy FROM part),
 g AS (SELECT min(gx) AS x_min, max(gx + ncols * 10) AS x_max, min(gy - nrows * 10) AS y_min, max(gy) AS y_max FROM cat),
 s AS (SELECT scene_id, ord, ncols, nrows, round_even((gx - x_min) / 10, 0)::INTEGER AS x0, round_even((y_max - gy) / 10, 0)::INTEGER AS y0 FROM cat, g),
 d AS (SELECT round_even((x_max - x_min) / 10, 0)::INTEGER AS w, round_even((y_max - y_min) / 10, 0)::INTEGER AS h FROM g)"""
@@ -212,7 +212,7 @@ def block_list_simple(spark, sf):
 @query(f"{BASE} SELECT * FROM o")
 def block_scene_join(spark, sf):
     _, b, s = _blocks(spark, sf)
-    return plan.overlaps_theta(b, s)
+    return plan.overlaps(b, s, 64)
 
 
 @query(f"{BASE} SELECT * FROM o")
@@ -242,10 +242,11 @@ def empty_blocks(spark, sf):
     return plan.empty_blocks(*_found(spark, sf)).select("top", "left", "xsize", "ysize")
 
 
-@query(f"""{BASE} SELECT top, "left", count(*) AS expected, count(*) FILTER (WHERE ord % 5 <> 0) AS arrived, count(*) = count(*) FILTER (WHERE ord % 5 <> 0) AS complete FROM o GROUP BY 1, 2""")
+@query(f"""{BASE} SELECT top, "left", count(*) AS expected, count(*) FILTER (WHERE ncols > 10) AS arrived, count(*) = count(*) FILTER (WHERE ncols > 10) AS complete FROM o GROUP BY 1, 2""")
 def blocks_complete(spark, sf):
+    """Scenes wider than ten pixels have arrived."""
     found = _found(spark, sf)[1]
-    return plan.completeness(found, found.where("ord % 5 <> 0"))
+    return plan.completeness(found, found.where("ncols > 10"))
 
 
 @query(f"""{BASE} SELECT scene_id, count(*) FILTER (WHERE top < 128) AS remaining FROM o GROUP BY 1""")
@@ -321,35 +322,36 @@ def web_mercator_forward(spark, sf):
     return _ll(spark, sf).select("p_partkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(f"""WITH c4 AS (SELECT p_partkey AS scene, 151 + (p_partkey % 40) / 10 + i * 0.02 AS lon, -30 - (p_partkey % 30) / 10 - j * 0.01 AS lat FROM part, range(2) a(i), range(2) b(j) WHERE p_partkey < 200),
+@query(f"""WITH c4 AS (SELECT p_partkey AS scene, 151 + (p_partkey % 40) / 10 + i * 0.02 AS lon, -30 - (p_partkey % 30) / 10 - j * 0.01 AS lat FROM part, range(2) a(i), range(2) b(j)),
 ll AS (SELECT scene, lon, lat FROM c4), {_sql_forward('lon', 'lat')}
 SELECT scene::VARCHAR AS scene_id, round(10 * floor(min(e) / 10), 3) AS b_x_min, round(10 * ceil(max(e) / 10), 3) AS b_x_max, round(10 * floor(min(n) / 10), 3) AS b_y_min, round(10 * ceil(max(n) / 10), 3) AS b_y_max FROM f GROUP BY 1""")
 def reproj_corners(spark, sf):
     k = F.col("p_partkey")
     gt = F.struct((F.lit(151.0) + (k % 40) / 10.0).alias("x0"), F.lit(0.0002).alias("xres"), F.lit(0.0).alias("xskew"), (F.lit(-30.0) - (k % 30) / 10.0).alias("y0"), F.lit(0.0).alias("yskew"), F.lit(-0.0001).alias("yres"))
-    c = _table(spark, sf, "part").where("p_partkey < 200").select(k.cast("string").alias("scene_id"), F.lit(100).alias("ncols"), F.lit(100).alias("nrows"), gt.alias("gt"))
+    c = _table(spark, sf, "part").select(k.cast("string").alias("scene_id"), F.lit(100).alias("ncols"), F.lit(100).alias("nrows"), gt.alias("gt"))
     out = warp.snapped(warp.corner_box(c, 4326, 32756), 10.0, 10.0)
     return out.select("scene_id", *[F.round(x, 3).alias(x) for x in ("b_x_min", "b_x_max", "b_y_min", "b_y_max")])
 
 
-def _targets(spark):
-    """A 40 x 30 grid of 2.5-pixel cells, shifted against the mosaic's pixels."""
+def _targets(spark, sf):
+    """A grid of 2.5-pixel cells over the whole mosaic, 40 across, shifted against its pixels."""
+    down = -(-_grid_rows(spark, sf) * 2 // 5)
     gt = lambda x0, y0, r: F.struct(F.lit(x0).alias("x0"), F.lit(r).alias("xres"), F.lit(0.0).alias("xskew"), F.lit(y0).alias("y0"), F.lit(0.0).alias("yskew"), F.lit(-r).alias("yres"))
-    return spark.range(1200).select(F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"), gt(0.3, -0.4, 2.5).alias("gt"), gt(0.0, 0.0, 1.0).alias("source_gt"))
+    return spark.range(40 * down).select(F.floor(F.col("id") / 40).alias("row"), (F.col("id") % 40).alias("col"), gt(0.3, -0.4, 2.5).alias("gt"), gt(0.0, 0.0, 1.0).alias("source_gt"))
 
 
-@query(f"""WITH {PX}, {LAST}, t AS (SELECT i AS "row", j AS col, floor(0.3 + (j + 0.5) * 2.5)::BIGINT AS c, floor(0.4 + (i + 0.5) * 2.5)::BIGINT AS r FROM range(30) a(i), range(40) b(j))
+@query(f"""WITH {PX}, {LAST}, t AS (SELECT i AS "row", j AS col, floor(0.3 + (j + 0.5) * 2.5)::BIGINT AS c, floor(0.4 + (i + 0.5) * 2.5)::BIGINT AS r FROM range((SELECT (max("row") + 1) * 2 + 4 FROM px) // 5) a(i), range(40) b(j))
 SELECT t."row", t.col, value FROM t LEFT JOIN m ON m."row" = t.r AND m.col = t.c""")
 def warp_nearest(spark, sf):
-    return warp.warp_nearest(_merged(spark, sf), _targets(spark), 32756, 32756)
+    return warp.warp_nearest(_merged(spark, sf), _targets(spark, sf), 32756, 32756)
 
 
-@query(f"""WITH {PX}, {LAST}, t AS (SELECT i AS "row", j AS col, -0.1 + (i + 0.5) * 2.5 AS y, -0.2 + (j + 0.5) * 2.5 AS x FROM range(30) a(i), range(40) b(j)),
+@query(f"""WITH {PX}, {LAST}, t AS (SELECT i AS "row", j AS col, -0.1 + (i + 0.5) * 2.5 AS y, -0.2 + (j + 0.5) * 2.5 AS x FROM range((SELECT (max("row") + 1) * 2 + 4 FROM px) // 5) a(i), range(40) b(j)),
 w AS (SELECT t."row", t.col, value, (1 - abs(y - m."row")) * (1 - abs(x - m.col)) AS w FROM t JOIN m ON m."row" IN (floor(y), floor(y) + 1) AND m.col IN (floor(x), floor(x) + 1) AND value IS NOT NULL),
 s AS (SELECT "row", col, sum(w * value) AS s, sum(w) AS w FROM w GROUP BY 1, 2)
 SELECT t."row", t.col, round(CASE WHEN abs(w) > 1e-9 THEN s / w END, 6) AS value FROM t LEFT JOIN s USING ("row", col)""")
 def warp_bilinear(spark, sf):
-    return warp.warp_weighted(_merged(spark, sf), _targets(spark), 32756, 32756, "bilinear").withColumn("value", F.round("value", 6))
+    return warp.warp_weighted(_merged(spark, sf), _targets(spark, sf), 32756, 32756, "bilinear").withColumn("value", F.round("value", 6))
 
 
 # ---- monitoring ---------------------------------------------------------------
@@ -395,11 +397,11 @@ def names_by_prefix(spark, sf):
     return monitor.names_with_prefix(_named(spark, sf, "true"), "c")
 
 
-@query("""WITH a AS (SELECT event_type || user_id AS name, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS phase, value, event_id >= 500 AS later FROM events)
+@query("""WITH a AS (SELECT event_type || user_id AS name, CASE WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS phase, value, value >= 35 AS later FROM events)
 SELECT name, phase, max(value) FILTER (WHERE later = l) AS t FROM a JOIN (SELECT name, phase, bool_or(later) AS l FROM a GROUP BY 1, 2) USING (name, phase) GROUP BY 1, 2""")
 def stamps_merge(spark, sf):
     one = lambda where: _named(spark, sf, where).groupBy("name", "phase").agg(F.max("t").alias("t"))
-    return monitor.merge_stamps(one("event_id < 500"), one("event_id >= 500"))
+    return monitor.merge_stamps(one("value < 35"), one("value >= 35"))
 
 
 @query("SELECT event_type, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
