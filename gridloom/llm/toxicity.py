@@ -13,9 +13,10 @@ insults in a long text). A logistic fit on training documents that the counts le
 A bigram moves the ratio of its word by at most ``SHIFT``: groups of near copies make
 bigrams that only one class has, and these must not count as toxic.
 
-The tables are hashed to a fixed number of slots, so what is broadcast has the same size
-whatever the corpus. Fitting takes at most ``PER_CLASS`` documents of either class, those
-of least hash of their doc_id among all labelled training documents; scoring takes every text whole.
+The counts cover every labelled training document, however many there are. The logistic fit alone takes a bounded sample: at most ``PER_CLASS``
+documents of either class. The tables are hashed to a fixed number of slots, so what is broadcast has
+the same size whatever the corpus; they are counted in parts of the bigrams that grow in number
+with the training documents and are added up in a tree. Scoring takes every text whole.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from gridloom.llm.common import flat, mix, settled, slices, words
 from gridloom.llm.suffix import pack, stack, unpack
 
 PER_CLASS = 6000
+#: Training documents a part of the counts, parts added at once, rows of (doc_id, class) that a broadcast may hold.
+PART_DOCS, FAN, BROADCAST_ROWS = 20_000, 32, 1_000_000
 BITS, CHUNKS = 20, 64
 DISCOUNT_PAIR, DISCOUNT_WORD, SATURATE, SHIFT, STRONG, TOP = 5, 2, 2, 0.5, 3.0, 3
 FEATURES = 4
@@ -77,8 +80,8 @@ def _pair(before, h):
 
 
 @settled
-def _pairs(batches):
-    """Distinct (context, word, class) of a task's texts with counts, once by context and once by word."""
+def _pairs(batches, parts):
+    """Distinct (context, word, class) of a task's texts with counts, once by context and once by word, dealt to parts by bigram."""
     held = []
 
     def out():
@@ -92,16 +95,17 @@ def _pairs(batches):
         n = np.diff(np.concatenate([at, [len(new)]])).astype(np.uint32)
         first = np.add.reduceat(r["first"].astype(np.uint32), at)
         r = {k: r[k][new] for k in "vwy"} | {"n": n, "first": first.astype(np.uint32)}
+        part = (mix(r["v"] * _U(0xD6E8FEB86659FD93) + r["w"]) % _U(parts)).astype(np.int64)
         for kind, key in ((0, "v"), (1, "w")):
-            to = _slot(r[key]) // PART
+            to = _slot(r[key]) // PART * parts + part
             order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(CHUNKS + 1))
-            for c in np.flatnonzero(np.diff(edges)):
-                yield kind, int(c), pack({k: x[order[edges[c]:edges[c + 1]]] for k, x in r.items()})
+            found, edges = np.unique(to[order], return_index=True)
+            for c, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
+                yield kind, c // parts, c % parts, pack({k: x[order[i:j]] for k, x in r.items()})
 
     def batch_of(rows):
-        kind, chunk, block = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(chunk, pa.int32()), pa.array(block, pa.binary())], names=["kind", "chunk", "block"])
+        kind, chunk, part, block = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["kind", "chunk", "part", "block"])
 
     for batch in batches:
         y = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -118,8 +122,8 @@ def _pairs(batches):
 
 
 def _tables(key, table):
-    """Counts of one chunk. By context: bigrams, contexts, what the discount leaves them; by word: words, distinct contexts."""
-    kind, chunk = (k.as_py() for k in key)
+    """Counts of one part of a chunk. By context: bigrams, contexts, what the discount leaves them; by word: words, distinct contexts."""
+    kind, chunk, part = (k.as_py() for k in key)
     r = stack([unpack(b) for b in table.column("block").to_pylist()])
     order = np.lexsort([r["y"], r["w"], r["v"]])
     r = {k: x[order] for k, x in r.items()}
@@ -139,8 +143,21 @@ def _tables(key, table):
             out[f"word{y}"] = np.bincount(own(_slot(w)), r["first"][mine], PART)
     if kind == 1:
         out["contexts"] = np.bincount(own(_slot(r["w"][new])), minlength=PART)
-    block = pack({k: x.astype(np.float32) for k, x in out.items()})
-    return pa.table({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "block": pa.array([block], pa.binary())})
+    return _table(kind, chunk, part, out)
+
+
+def _table(kind, chunk, part, counts):
+    block = pack({k: x.astype(np.float64) for k, x in counts.items()})
+    return pa.table({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.binary())})
+
+
+def _added(key, table):
+    """Counts of several parts in one: no bigram is in two of them."""
+    total = {}
+    for block in table.column("block").to_pylist():
+        for k, x in unpack(block).items():
+            total[k] = total[k] + x if k in total else x
+    return _table(*(k.as_py() for k in key), total)
 
 
 class Model:
@@ -204,11 +221,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x / self.scale) @ self.weights[1:], -30, 30)))
 
 
+COUNTS = "kind int, chunk int, part int, block binary"
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | float:
     """Fit on labelled documents that are not held out; a constant score where a class is missing.
 
     Of several labels of a document the greatest counts; null labels and null ids are left out.
-    A quarter of the sample (crc32 mod 5 = 4) calibrates and is not counted.
+    A quarter of the documents (crc32 mod 5 = 4) calibrates, at most ``per_class`` of a class, and is not counted.
     """
     spark = docs.sparkSession
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -216,17 +236,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 2)
-    # Alike many of both classes, so that neither model knows more words than the other.
-    per_class = min(per_class, sizes[0], sizes[1])
-    pick = known.where("toxic = 0").orderBy("h", "doc_id").limit(per_class).unionByName(known.where("toxic = 1").orderBy("h", "doc_id").limit(per_class))
-    # At most 2 * per_class rows of two numbers.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(pick.select("doc_id", "toxic")), "doc_id")
-    part = F.crc32(F.col("doc_id").cast("string")) % 5
-    counted = (sample.where(part != 4).select("text", "toxic").mapInArrow(_pairs, "kind int, chunk int, block binary")
-               .groupBy("kind", "chunk").applyInArrow(lambda key, t: _tables(key, t), "kind int, chunk int, block binary"))
+    pick = known.withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 5)
+    calibrate = pick.where("part = 4 AND toxic = 0").orderBy("h", "doc_id").limit(per_class).unionByName(pick.where("part = 4 AND toxic = 1").orderBy("h", "doc_id").limit(per_class))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    count = pick.where("part <> 4").select("doc_id", "toxic")
+    n = sizes[0] + sizes[1]
+    parts = n // PART_DOCS + 1
+    counted = (texts.join(F.broadcast(count) if n <= BROADCAST_ROWS else count, "doc_id").select("text", "toxic").mapInArrow(partial(_pairs, parts=parts), COUNTS)
+               .groupBy("kind", "chunk", "part").applyInArrow(lambda key, t: _tables(key, t), COUNTS))
+    while parts > 1:
+        parts = -(-parts // FAN)
+        counted = counted.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("kind", "chunk", "part").applyInArrow(lambda key, t: _added(key, t), COUNTS)
     names = [f"{n}{y}" for n in ("pair", "context", "left", "word") for y in (0, 1)] + ["contexts"]
     tables = {n: np.zeros(SIZE, np.float32) for n in names}
-    for r in counted.collect():  # CHUNKS rows of each kind, whatever the sample
+    for r in counted.collect():  # CHUNKS rows of each kind, however many documents
         for k, x in unpack(r.block).items():
             tables[k][r.chunk * PART:(r.chunk + 1) * PART] = x
     model = Model(tables)
@@ -238,13 +261,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             x = shared.value.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
 
-    rows = sample.where(part == 4).select("text", "toxic").mapInArrow(measured, "x array<double>, y int").collect()
+    # At most 2 * per_class rows, of two numbers here and of FEATURES + 1 on the driver.
+    rows = texts.join(F.broadcast(calibrate.select("doc_id", "toxic")), "doc_id").select("text", "toxic").mapInArrow(measured, "x array<double>, y int").collect()
     shared.unpersist()
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         return (sizes[1] + 0.5) / (sum(sizes.values()) + 2)
     x = np.array([r.x for r in rows])
-    # The sample takes the classes alike; weigh them back to their shares of all labels.
+    # The bounded sample may not hold the classes as all labels do; weigh them back.
     model.fit(x, y, np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum()))
     return model
 

@@ -151,6 +151,19 @@ def test_toxicity_learns_only_from_training_rows(spark):
     assert clean.columns == ["doc_id", "text", "_toxicity"] and clean.count() == sum(x.predicted == 0 for x in got.values())
 
 
+def test_toxicity_counts_in_parts_as_in_one(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["vile", "foul"] if i % 3 == 0 and r.random() < 0.2 else ["a", "b", "c", "d", "e", "f"]) for _ in range(40))) for i in range(300)]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    want = {x.doc_id: x.score for x in toxicity.toxicity(df, y).collect()}
+    monkeypatch.setattr(toxicity, "PART_DOCS", 20)
+    monkeypatch.setattr(toxicity, "FAN", 3)
+    assert {x.doc_id: x.score for x in toxicity.toxicity(df, y).collect()} == pytest.approx(want)
+    # More rows than a broadcast may hold: the same by a shuffle.
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 10)
+    assert {x.doc_id: x.score for x in toxicity.toxicity(df, y).collect()} == pytest.approx(want)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
