@@ -33,7 +33,7 @@ from gridloom.llm.suffix import pack, stack, unpack
 
 PER_CLASS = 6000
 #: Training documents a part of the counts, parts added at once, rows of (doc_id, class) that a broadcast may hold.
-PART_DOCS, FAN, BROADCAST_ROWS = 20_000, 32, 1_000_000
+PART_DOCS, FAN, BROADCAST_ROWS = 5_000, 32, 1_000_000
 BITS, CHUNKS = 20, 64
 DISCOUNT_PAIR, DISCOUNT_WORD, SATURATE, SHIFT, STRONG, TOP = 5, 2, 2, 0.5, 3.0, 3
 FEATURES = 4
@@ -81,7 +81,7 @@ def _pair(before, h):
 
 @settled
 def _pairs(batches, parts):
-    """Distinct (context, word, class) of a task's texts with counts, once by context and once by word, dealt to parts by bigram."""
+    """Distinct (context, word, class) of a task's texts with counts, dealt to parts by bigram."""
     held = []
 
     def out():
@@ -96,16 +96,14 @@ def _pairs(batches, parts):
         first = np.add.reduceat(r["first"].astype(np.uint32), at)
         r = {k: r[k][new] for k in "vwy"} | {"n": n, "first": first.astype(np.uint32)}
         part = (mix(r["v"] * _U(0xD6E8FEB86659FD93) + r["w"]) % _U(parts)).astype(np.int64)
-        for kind, key in ((0, "v"), (1, "w")):
-            to = _slot(r[key]) // PART * parts + part
-            order = np.argsort(to, kind="stable")
-            found, edges = np.unique(to[order], return_index=True)
-            for c, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
-                yield kind, c // parts, c % parts, pack({k: x[order[i:j]] for k, x in r.items()})
+        order = np.argsort(part, kind="stable")
+        found, edges = np.unique(part[order], return_index=True)
+        for c, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
+            yield 0, c, pack({k: x[order[i:j]] for k, x in r.items()})
 
     def batch_of(rows):
-        kind, chunk, part, block = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["kind", "chunk", "part", "block"])
+        chunk, part, block = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["chunk", "part", "block"])
 
     for batch in batches:
         y = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -122,33 +120,26 @@ def _pairs(batches, parts):
 
 
 def _tables(key, table):
-    """Counts of one part of a chunk. By context: bigrams, contexts, what the discount leaves them; by word: words, distinct contexts."""
-    kind, chunk, part = (k.as_py() for k in key)
+    """Counts of one part of the bigrams, a row a chunk of slots; all of them add up over parts.
+
+    Bigrams, contexts and what the discount leaves them by context; documents and distinct contexts by word.
+    """
     r = stack([unpack(b) for b in table.column("block").to_pylist()])
     order = np.lexsort([r["y"], r["w"], r["v"]])
     r = {k: x[order] for k, x in r.items()}
-    own = lambda slot: slot - chunk * PART
-    new = np.concatenate([[True], (r["v"][1:] != r["v"][:-1]) | (r["w"][1:] != r["w"][:-1])])
-    out = {}
+    count = lambda slot, n=None: np.bincount(slot, n, SIZE).astype(np.float32)
+    new = lambda v, w: np.flatnonzero(np.concatenate([np.ones(min(1, len(v)), bool), (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    out = {"contexts": count(_slot(r["w"][new(r["v"], r["w"])]))}
     for y in (0, 1):
-        mine = r["y"] == y
-        v, w, n = r["v"][mine], r["w"][mine], r["n"][mine]
-        if kind == 0:
-            at = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, int)
-            each = np.add.reduceat(n, at) if len(at) else n
-            out[f"pair{y}"] = np.bincount(own(_pair(v, w)), n, PART)
-            out[f"context{y}"] = np.bincount(own(_slot(v)), n, PART)
-            out[f"left{y}"] = np.bincount(own(_slot(v[at])), np.minimum(each, DISCOUNT_PAIR), PART)
-        else:
-            out[f"word{y}"] = np.bincount(own(_slot(w)), r["first"][mine], PART)
-    if kind == 1:
-        out["contexts"] = np.bincount(own(_slot(r["w"][new])), minlength=PART)
-    return _table(kind, chunk, part, out)
-
-
-def _table(kind, chunk, part, counts):
-    block = pack({k: x.astype(np.float64) for k, x in counts.items()})
-    return pa.table({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.binary())})
+        v, w, n, first = (r[k][r["y"] == y] for k in ("v", "w", "n", "first"))
+        at = new(v, w)
+        each = np.add.reduceat(n, at) if len(at) else n
+        out |= {f"pair{y}": count(_pair(v, w), n), f"context{y}": count(_slot(v), n), f"left{y}": count(_slot(v[at]), np.minimum(each, DISCOUNT_PAIR)), f"word{y}": count(_slot(w), first)}
+    return pa.concat_tables([_table(c, key[-1].as_py(), {k: x[c * PART:(c + 1) * PART] for k, x in out.items()}) for c in range(CHUNKS)])
+
+
+def _table(chunk, part, counts):
+    return pa.table({"chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([pack(counts)], pa.binary())})
 
 
 def _added(key, table):
@@ -156,7 +147,7 @@ def _added(key, table):
     total = {}
     for block in table.column("block").to_pylist():
         for k, x in unpack(block).items():
-            total[k] = total[k] + x if k in total else x
+            total[k] = total[k] + x if k in total else x.astype(np.float64)
     return _table(*(k.as_py() for k in key), total)
 
 
@@ -221,7 +212,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x / self.scale) @ self.weights[1:], -30, 30)))
 
 
-COUNTS = "kind int, chunk int, part int, block binary"
+COUNTS = "chunk int, part int, block binary"
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | float:
@@ -243,13 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     n = sizes[0] + sizes[1]
     parts = n // PART_DOCS + 1
     counted = (texts.join(F.broadcast(count) if n <= BROADCAST_ROWS else count, "doc_id").select("text", "toxic").mapInArrow(partial(_pairs, parts=parts), COUNTS)
-               .groupBy("kind", "chunk", "part").applyInArrow(lambda key, t: _tables(key, t), COUNTS))
+               .groupBy("part").applyInArrow(lambda key, t: _tables(key, t), COUNTS))
     while parts > 1:
         parts = -(-parts // FAN)
-        counted = counted.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("kind", "chunk", "part").applyInArrow(lambda key, t: _added(key, t), COUNTS)
+        counted = counted.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("chunk", "part").applyInArrow(lambda key, t: _added(key, t), COUNTS)
     names = [f"{n}{y}" for n in ("pair", "context", "left", "word") for y in (0, 1)] + ["contexts"]
     tables = {n: np.zeros(SIZE, np.float32) for n in names}
-    for r in counted.collect():  # CHUNKS rows of each kind, however many documents
+    for r in counted.collect():  # CHUNKS rows, however many documents
         for k, x in unpack(r.block).items():
             tables[k][r.chunk * PART:(r.chunk + 1) * PART] = x
     model = Model(tables)
