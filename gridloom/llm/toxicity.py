@@ -13,7 +13,7 @@ insults in a long text). A logistic fit on training documents that the counts le
 A bigram moves the ratio of its word by at most ``SHIFT``: groups of near copies make
 bigrams that only one class has, and these must not count as toxic.
 
-The counts cover every labelled training document, however many there are. The logistic fit alone takes a bounded sample: at most ``PER_CLASS``
+The counts cover every labelled training document, however many there are, but those of the logistic fit, a bounded sample: at most ``PER_CLASS``
 documents of either class. The tables are hashed to a fixed number of slots, so what is broadcast has
 the same size whatever the corpus; they are counted in parts of the bigrams that grow in number
 with the training documents and are added up in a tree. Scoring takes every text whole.
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Fit on labelled documents that are not held out; a constant score where a class is missing.
 
     Of several labels of a document the greatest counts; null labels and null ids are left out.
-    A quarter of the documents (crc32 mod 5 = 4) calibrates, at most ``per_class`` of a class, and is not counted.
+    At most ``per_class`` documents of a class (of those with crc32 mod 5 = 4) calibrate; every other one is counted.
     """
     spark = docs.sparkSession
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     pick = known.withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 5)
     calibrate = pick.where("part = 4 AND toxic = 0").orderBy("h", "doc_id").limit(per_class).unionByName(pick.where("part = 4 AND toxic = 1").orderBy("h", "doc_id").limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = pick.where("part <> 4").select("doc_id", "toxic")
+    count = known.join(F.broadcast(calibrate.select("doc_id")), "doc_id", "left_anti").select("doc_id", "toxic")
     n = sizes[0] + sizes[1]
     parts = n // PART_DOCS + 1
     counted = (texts.join(F.broadcast(count) if n <= BROADCAST_ROWS else count, "doc_id").select("text", "toxic").mapInArrow(partial(_pairs, parts=parts), COUNTS)

@@ -164,6 +164,24 @@ def test_toxicity_counts_in_parts_as_in_one(spark, monkeypatch):
     assert {x.doc_id: x.score for x in toxicity.toxicity(df, y).collect()} == pytest.approx(want)
 
 
+def test_toxicity_counts_all_but_the_fitted_documents(spark):
+    r = random.Random(4)
+    plain = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(1200):
+        bad = int(i % 3 == 0)
+        w = [r.choice(plain) for _ in range(30)] + ["vile"] * bad
+        if bad and zlib.crc32(str(i).encode()) % 5 == 4:
+            w.append("foul")  # only where the fit's sample comes from
+        r.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, bad))
+    rows += [(-1, "w1 w2 foul w3 w4"), (-2, "w1 w2 w5 w3 w4")]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(df, y, per_class=12).collect()}
+    assert (got[-1], got[-2]) == (1, 0)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
