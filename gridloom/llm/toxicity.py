@@ -14,32 +14,38 @@ A bigram moves the ratio of its word by at most ``SHIFT``: groups of near copies
 bigrams that only one class has, and these must not count as toxic.
 
 The counts cover every labelled training document, however many there are, but those of the logistic fit, a bounded sample: at most ``PER_CLASS``
-documents of either class. The tables are hashed to a fixed number of slots, so what is broadcast has
-the same size whatever the corpus; they are counted in parts of the bigrams that grow in number
-with the training documents and are added up in a tree. Scoring takes every text whole.
+documents of either class. The tables are keyed by the words and bigrams themselves (64-bit hashes), so they grow
+with the vocabulary and no two expressions share an entry. They are counted in parts of the bigrams, then of the words, that grow in number
+with the training documents. What the discounts leave nothing of has the ratio of an unseen word, or of its word,
+so only the other entries are kept: in a file that executors fetch and their workers map, of which
+the driver holds one part at a time. Scoring takes every text whole.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat, mix, settled, slices, words
+from gridloom.llm.common import cut, flat, mix, settled, slices, words
 from gridloom.llm.suffix import pack, stack, unpack
 
 PER_CLASS = 6000
-#: Training documents a part of the counts, parts added at once, rows of (doc_id, class) that a broadcast may hold.
-PART_DOCS, FAN, BROADCAST_ROWS = 5_000, 32, 1_000_000
-BITS, CHUNKS = 20, 64
+#: Training documents a part of the bigrams, such parts to one of the words, rows of (doc_id, class) that a broadcast may hold.
+PART_DOCS, FAN, BROADCAST_ROWS = 5_000, 4, 1_000_000
 DISCOUNT_PAIR, DISCOUNT_WORD, SATURATE, SHIFT, STRONG, TOP = 5, 2, 2, 0.5, 3.0, 3
 FEATURES = 4
-SIZE, PART = 1 << BITS, (1 << BITS) // CHUNKS
+FLOOR = 1e-15
 _U = np.uint64
 _START = _U(0x51ED270B)
+_HIGH = _U(24)
 # Words here are runs of letters and digits: ASCII punctuation separates too.
 _PLAIN = np.arange(256, dtype=np.uint8)
 for _c in range(128):
@@ -70,13 +76,15 @@ def _distinct(rows, key) -> np.ndarray:
     return np.sort(np.unique(key + rows.astype(np.uint64) * _U(0x9E3779B97F4A7C15), return_index=True)[1])
 
 
-def _slot(h):
-    return (h & _U(SIZE - 1)).astype(np.int64)
+def _part(h, parts):
+    """Part of a word: ranges of the hash in order."""
+    return (((h >> (_U(64) - _HIGH)) * _U(parts)) >> _HIGH).astype(np.int64)
 
 
-def _pair(before, h):
-    """Bigram slot in the chunk of its context."""
-    return (_slot(before) // PART) * PART + (mix(before * _U(0x9E3779B97F4A7C15) + h) & _U(PART - 1)).astype(np.int64)
+def _key(before, h):
+    """Bigram key: the leading bits of its word, so that parts of the words are ranges of it, and 40 of its own."""
+    low = _U(64) - _HIGH
+    return (h >> low << low) | (mix(before * _U(0x9E3779B97F4A7C15) + h) >> _HIGH)
 
 
 @settled
@@ -99,11 +107,11 @@ def _pairs(batches, parts):
         order = np.argsort(part, kind="stable")
         found, edges = np.unique(part[order], return_index=True)
         for c, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
-            yield 0, c, pack({k: x[order[i:j]] for k, x in r.items()})
+            yield c, pack({k: x[order[i:j]] for k, x in r.items()})
 
     def batch_of(rows):
-        chunk, part, block = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["chunk", "part", "block"])
+        part, block = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["part", "block"])
 
     for batch in batches:
         y = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -119,71 +127,168 @@ def _pairs(batches, parts):
         yield batch_of(rows)
 
 
-def _tables(key, table):
-    """Counts of one part of the bigrams, a row a chunk of slots; all of them add up over parts.
+def _starts(*keys) -> np.ndarray:
+    """Where sorted rows of another key begin."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _sums(r, by: str):
+    """Sums of the other columns by one, in its order."""
+    order = np.argsort(r[by], kind="stable")
+    k = r[by][order]
+    at = _starts(k)
+    return {by: k[at]} | {c: np.add.reduceat(x[order], at) if len(at) else x for c, x in r.items() if c != by}
+
+
+def _dealt(kind: str, r, parts: int, by: str):
+    """(part, kind, block) of each part of the words that rows fall in."""
+    part = _part(r[by], parts)
+    order = np.argsort(part, kind="stable")
+    found, edges = np.unique(part[order], return_index=True)
+    for p, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
+        yield p, kind, pack({k: x[order[i:j]] for k, x in r.items()})
 
-    Bigrams, contexts and what the discount leaves them by context; documents and distinct contexts by word.
-    """
-    r = stack([unpack(b) for b in table.column("block").to_pylist()])
-    order = np.lexsort([r["y"], r["w"], r["v"]])
-    r = {k: x[order] for k, x in r.items()}
-    count = lambda slot, n=None: np.bincount(slot, n, SIZE).astype(np.float32)
-    new = lambda v, w: np.flatnonzero(np.concatenate([np.ones(min(1, len(v)), bool), (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-    out = {"contexts": count(_slot(r["w"][new(r["v"], r["w"])]))}
-    for y in (0, 1):
-        v, w, n, first = (r[k][r["y"] == y] for k in ("v", "w", "n", "first"))
-        at = new(v, w)
-        each = np.add.reduceat(n, at) if len(at) else n
-        out |= {f"pair{y}": count(_pair(v, w), n), f"context{y}": count(_slot(v), n), f"left{y}": count(_slot(v[at]), np.minimum(each, DISCOUNT_PAIR)), f"word{y}": count(_slot(w), first)}
-    return pa.concat_tables([_table(c, key[-1].as_py(), {k: x[c * PART:(c + 1) * PART] for k, x in out.items()}) for c in range(CHUNKS)])
 
+def _table(rows):
+    rows = list(rows)
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.string()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
-def _table(chunk, part, counts):
-    return pa.table({"chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([pack(counts)], pa.binary())})
 
+def _blocks(table) -> dict:
+    """The rows of each kind, stacked."""
+    held: dict = {}
+    for kind, block in zip(table.column("kind").to_pylist(), table.column("block").to_pylist()):
+        held.setdefault(kind, []).append(unpack(block))
+    return {k: stack(x) for k, x in held.items()}
 
-def _added(key, table):
-    """Counts of several parts in one: no bigram is in two of them."""
-    total = {}
-    for block in table.column("block").to_pylist():
-        for k, x in unpack(block).items():
-            total[k] = total[k] + x if k in total else x.astype(np.float64)
-    return _table(*(k.as_py() for k in key), total)
+
+def _tables(table, parts):
+    """Counts of one part of the bigrams, dealt to parts of the words.
+
+    word: distinct contexts, and documents of either class, by word. context: bigrams of either class and what the discount takes from them, by context.
+    pair: the bigrams that the discount leaves something of, in the part of their context.
+    """
+    r = stack([unpack(b) for b in table.column("block").to_pylist()])
+    order = np.lexsort([r["w"], r["v"]])
+    r = {k: x[order] for k, x in r.items()}
+    at = _starts(r["v"], r["w"])
+    v, w = r["v"][at], r["w"][at]
+    of = lambda name, y: np.add.reduceat(np.where(r["y"] == y, r[name], 0).astype(np.uint32), at)
+    n0, n1 = of("n", 0), of("n", 1)
+    word = {"k": w, "contexts": np.ones(len(w), np.uint32), "n0": of("first", 0), "n1": of("first", 1)}
+    context = {"k": v, "c0": n0, "c1": n1, "left": np.minimum(n0, DISCOUNT_PAIR) + np.minimum(n1, DISCOUNT_PAIR)}
+    kept = np.maximum(n0, n1) > DISCOUNT_PAIR
+    pair = {"v": v[kept], "w": w[kept], "n0": n0[kept], "n1": n1[kept]}
+    return _table([*_dealt("word", _sums(word, "k"), parts, "k"), *_dealt("context", _sums(context, "k"), parts, "k"), *_dealt("pair", pair, parts, "v")])
+
+
+def _joined(key, table, parts):
+    """One part of the words: those that a discount leaves something of, sums over all, and the bigrams with what is known of their contexts, now in the part of their word."""
+    r = _blocks(table)
+    out = []
+    if "word" in r:
+        x = _sums(r["word"], "k")
+        n = [x[f"n{y}"].astype(np.int64) for y in (0, 1)]
+        shared = np.minimum(x["contexts"], SATURATE) + 0.5
+        # Documents, what the discount takes from them, shared weight.
+        out.append((key[0].as_py(), "total", pack({"t": np.array([n[0].sum(), n[1].sum(), np.minimum(n[0], DISCOUNT_WORD).sum(), np.minimum(n[1], DISCOUNT_WORD).sum(), shared.sum()], float)})))
+        kept = np.maximum(*n) > DISCOUNT_WORD
+        out.append((key[0].as_py(), "word", pack({"k": x["k"][kept], "n0": x["n0"][kept], "n1": x["n1"][kept], "shared": shared[kept]})))
+    if "pair" in r:
+        # Every context of a bigram is counted in its part.
+        c, x = _sums(r["context"], "k"), r["pair"]
+        at = np.searchsorted(c["k"], x["v"])
+        c = {k: y[at].astype(float) for k, y in c.items() if k != "k"}
+        own = {f"p{y}": np.maximum(x[f"n{y}"].astype(float) - DISCOUNT_PAIR, 0) / np.maximum(c[f"c{y}"], 1) for y in (0, 1)}
+        out += _dealt("pair", {"v": x["v"], "w": x["w"], "back": c["left"] / (c["c0"] + c["c1"])} | own, parts, "w")
+    return _table(out)
+
+
+def _ratios(key, table, total):
+    """Log-likelihood ratios of one part's words, and how far its bigrams move them, each in the order of their keys."""
+    r = _blocks(table)
+    x = r["word"]
+    order = np.argsort(x["k"])
+    x = {k: y[order] for k, y in x.items()}
+    low = [(np.maximum(x[f"n{y}"].astype(float) - DISCOUNT_WORD, 0) + total[2 + y] * x["shared"] / total[4]) / max(1.0, total[y]) for y in (0, 1)]
+    plain = np.log(low[1] + FLOOR) - np.log(low[0] + FLOOR)
+    keys, moved = np.zeros(0, np.uint64), np.zeros(0)
+    if "pair" in r:
+        p = r["pair"]
+        # A bigram of more than DISCOUNT_PAIR documents has a word of as many.
+        at = np.searchsorted(x["k"], p["w"])
+        both = [np.log(p[f"p{y}"] + p["back"] * low[y][at] + FLOOR) for y in (0, 1)]
+        moved = np.clip(both[1] - both[0] - plain[at], -SHIFT, SHIFT)
+        keys = _key(p["v"], p["w"])
+        order = np.argsort(keys)
+        keys, moved = keys[order], moved[order]
+    block = pack({"words": x["k"], "ratio": plain.astype(np.float32), "pairs": keys, "moved": moved.astype(np.float32)})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(x["k"])], pa.int64()), "pairs": pa.array([len(keys)], pa.int64()), "block": pa.array([block], pa.binary())})
+
+
+def _stored(found: DataFrame) -> tuple[str, int, int]:
+    """The parts in one file of the executors: name, numbers of words and bigrams. A last key ends either, as a bound for look-ups."""
+    sizes = sorted((r.part, r.words, r.pairs) for r in found.select("part", "words", "pairs").collect())
+    n, m = sum(x[1] for x in sizes) + 1, sum(x[2] for x in sizes) + 1
+    starts, i, j = {}, 0, 0
+    for part, a, b in sizes:
+        starts[part] = i, j
+        i, j = i + a, j + b
+    name = f"toxicity-{uuid.uuid4().hex}"
+    # The file server reads it as long as the application runs.
+    path = os.path.join(tempfile.mkdtemp(prefix="gridloom-toxicity-"), name)
+    raw = np.memmap(path, np.uint8, "w+", shape=12 * (n + m))
+    views = _views(raw, n, m)
+    views[0][-1] = views[1][-1] = _U(2**64 - 1)
+    for r in found.toLocalIterator():
+        i, j = starts[r.part]
+        x = unpack(r.block)
+        views[0][i:i + r.words], views[2][i:i + r.words] = x["words"], x["ratio"]
+        views[1][j:j + r.pairs], views[3][j:j + r.pairs] = x["pairs"], x["moved"]
+    raw.flush()
+    found.sparkSession.sparkContext.addFile(path)
+    return name, n, m
+
+
+def _views(raw, n: int, m: int):
+    """Keys of words and of bigrams, values of both."""
+    return raw[:8 * n].view(np.uint64), raw[8 * n:8 * (n + m)].view(np.uint64), raw[8 * (n + m):8 * (n + m) + 4 * n].view(np.float32), raw[8 * (n + m) + 4 * n:].view(np.float32)
+
+
+def _looked_up(keys, values, asked, missing) -> np.ndarray:
+    order = np.argsort(asked)  # neighbours in the file one after another
+    asked = asked[order]
+    at = np.searchsorted(keys, asked)
+    out = np.empty(len(asked), np.float64)
+    out[order] = np.where(keys[at] == asked, values[at], missing)
+    return out
 
 
 class Model:
-    """Hashed count tables of both classes and the logistic weights."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        t = tables
-        shared = np.minimum(t["contexts"], SATURATE) + 0.5
-        shared /= shared.sum()
-        low = []
-        for y in (0, 1):
-            n = t[f"word{y}"].astype(np.float64)
-            low.append((np.maximum(n - DISCOUNT_WORD, 0) + np.minimum(n, DISCOUNT_WORD).sum() * shared) / max(1.0, n.sum()))
-        seen = t["context0"] + t["context1"]
-        self.back = np.where(seen > 0, (t["left0"] + t["left1"]) / np.maximum(seen, 1), 1).astype(np.float32)
-        self.low = [x.astype(np.float32) for x in low]
-        self.context = [t["context0"], t["context1"]]
-        self.kept = [np.maximum(t[f"pair{y}"] - DISCOUNT_PAIR, 0) for y in (0, 1)]
+    """The file of ratios, the ratio of an unseen word, and the logistic weights."""
+
+    def __init__(self, stored: tuple[str, int, int], unseen: float):
+        self.stored, self.unseen, self.views = stored, unseen, None
         self.weights, self.scale = np.zeros(FEATURES + 1), np.ones(FEATURES)
 
+    def __getstate__(self):
+        return self.__dict__ | {"views": None}
+
     def ratio(self, before, h) -> np.ndarray:
         """log p(word | context, toxic) - log p(word | context, ordinary), each with interpolated backoff."""
-        v, w, b = _slot(before), _slot(h), _pair(before, h)
-        pair, word = [], []
-        for y in (0, 1):
-            low, n = self.low[y][w], self.context[y][v]
-            pair.append(np.log(np.minimum(self.kept[y][b], n) / np.maximum(n, 1) + self.back[v] * low + 1e-15))
-            word.append(np.log(low + 1e-15))
-        plain = word[1] - word[0]
-        return plain + np.clip(pair[1] - pair[0] - plain, -SHIFT, SHIFT)
+        if self.views is None:
+            name, n, m = self.stored
+            self.views = _views(np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r")), n, m)
+        words, pairs, ratio, moved = self.views
+        return _looked_up(words, ratio, h, self.unseen) + _looked_up(pairs, moved, _key(before, h), 0.0)
 
     def features(self, column) -> np.ndarray:
         out = []
         for _, many, rows, h, before in _tokens(column):
-            r = self.ratio(before, h).astype(np.float64)
+            r = self.ratio(before, h)
             n = np.maximum(np.bincount(rows, minlength=many), 1)
             total = np.bincount(rows, r, many)
             order = np.lexsort([-r, rows])
@@ -212,7 +317,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x / self.scale) @ self.weights[1:], -30, 30)))
 
 
-COUNTS = "chunk int, part int, block binary"
+COUNTS, DEALT = "part int, block binary", "part int, kind string, block binary"
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | float:
@@ -233,17 +338,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     count = known.join(F.broadcast(calibrate.select("doc_id")), "doc_id", "left_anti").select("doc_id", "toxic")
     n = sizes[0] + sizes[1]
     parts = n // PART_DOCS + 1
-    counted = (texts.join(F.broadcast(count) if n <= BROADCAST_ROWS else count, "doc_id").select("text", "toxic").mapInArrow(partial(_pairs, parts=parts), COUNTS)
-               .groupBy("part").applyInArrow(lambda key, t: _tables(key, t), COUNTS))
-    while parts > 1:
-        parts = -(-parts // FAN)
-        counted = counted.withColumn("part", F.pmod("part", F.lit(parts)).cast("int")).groupBy("chunk", "part").applyInArrow(lambda key, t: _added(key, t), COUNTS)
-    names = [f"{n}{y}" for n in ("pair", "context", "left", "word") for y in (0, 1)] + ["contexts"]
-    tables = {n: np.zeros(SIZE, np.float32) for n in names}
-    for r in counted.collect():  # CHUNKS rows, however many documents
-        for k, x in unpack(r.block).items():
-            tables[k][r.chunk * PART:(r.chunk + 1) * PART] = x
-    model = Model(tables)
+    of_words = -(-parts // FAN)
+    counted = cut(texts.join(F.broadcast(count) if n <= BROADCAST_ROWS else count, "doc_id").select("text", "toxic").mapInArrow(partial(_pairs, parts=parts), COUNTS)
+                  .groupBy("part").applyInArrow(lambda t: _tables(t, of_words), DEALT)
+                  .groupBy("part").applyInArrow(lambda key, t: _joined(key, t, of_words), DEALT))
+    total = np.zeros(5)
+    for r in counted.where("kind = 'total'").select("block").collect():  # five numbers a part of the words
+        total += unpack(r.block)["t"]
+    total[4] += 0.5  # the word never seen
+    found = cut(counted.where("kind <> 'total'").groupBy("part").applyInArrow(lambda key, t: _ratios(key, t, total), "part int, words long, pairs long, block binary"))
+    never = [np.log(total[2 + y] / max(1.0, total[y]) * 0.5 / total[4] + FLOOR) for y in (0, 1)]
+    model = Model(_stored(found), float(never[1] - never[0]))
     shared = spark.sparkContext.broadcast(model)
 
     @settled

@@ -1,12 +1,16 @@
 """Mixing, pieces, fingerprints, toxicity, chats and licences."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from gridloom.llm import chat, fingerprint, license, mixing, pieces, toxicity
+from gridloom.llm.common import words
 
 
 def docs_of(n=900, seed=2):
@@ -164,6 +168,70 @@ def test_toxicity_counts_in_parts_as_in_one(spark, monkeypatch):
     assert {x.doc_id: x.score for x in toxicity.toxicity(df, y).collect()} == pytest.approx(want)
 
 
+def hashes_of(names):
+    own = [n.encode() for n in names]
+    return words(np.frombuffer(b" ".join(own), np.uint8), np.array([0, sum(map(len, own)) + len(own) - 1]))[3]
+
+
+def test_toxicity_keeps_words_of_one_slot_apart(spark):
+    names = [f"x{i}" for i in range(6000)]
+    slots, pair = {}, None
+    for name, h in zip(names, hashes_of(names).tolist()):
+        if (other := slots.setdefault(h % (1 << 20), name)) != name:
+            pair = other, name
+            break
+    bad, other = pair
+    r = random.Random(6)
+    plain = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(r.sample(plain, 20) + [bad if i % 3 == 0 else r.choice(plain)] * 2)) for i in range(300)]
+    asked = [(-1, f"w1 w2 {bad} w3 {bad} w4"), (-2, f"w1 w2 {other} w3 {other} w4"), (-3, "w1 w2 never w3 never w4")]
+    df, y = spark.createDataFrame(rows + asked, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity(df, y).collect()}
+    assert got[-1].predicted == 1 and got[-2].score == pytest.approx(got[-3].score) and got[-2].score < got[-1].score
+
+
+def test_toxicity_ratios_are_those_of_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_DOCS", 40)
+    monkeypatch.setattr(toxicity, "FAN", 2)
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(vocabulary[min(int(r.expovariate(0.15)), 59)] for _ in range(25))) for i in range(260)]
+    y = {i: int(i % 4 == 0) for i, _ in rows}
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(y.items()), "doc_id long, toxic int"))
+    pairs, single, before = [Counter(), Counter()], [Counter(), Counter()], {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            w = t.split()
+            pairs[y[i]].update(set(zip(["^"] + w, w)))
+            single[y[i]].update(set(w))
+            for a, b in zip(["^"] + w, w):
+                before.setdefault(b, set()).add(a)
+    shared = {w: min(len(x), 2) + 0.5 for w, x in before.items()}
+    every = sum(shared.values()) + 0.5
+    context = [Counter(), Counter()]
+    left = Counter()
+    for k in (0, 1):
+        for (a, _), n in pairs[k].items():
+            context[k][a] += n
+            left[a] += min(n, 5)
+
+    def ratio(a, b):
+        p, q = [], []
+        for k in (0, 1):
+            low = (max(single[k][b] - 2, 0) + sum(min(n, 2) for n in single[k].values()) * shared.get(b, 0.5) / every) / sum(single[k].values())
+            seen = context[0][a] + context[1][a]
+            q.append(math.log(low))
+            p.append(math.log(max(pairs[k][a, b] - 5, 0) / max(context[k][a], 1) + (left[a] / seen if seen else 1) * low))
+        plain = q[1] - q[0]
+        return plain + max(-0.5, min(0.5, p[1] - p[0] - plain))
+
+    asked = [(a, b) for a in vocabulary[:20] for b in vocabulary] + [("never", "w1"), ("w1", "never")]
+    h = dict(zip(vocabulary + ["never"], hashes_of(vocabulary + ["never"])))
+    got = model.ratio(np.array([h[a] for a, _ in asked]), np.array([h[b] for _, b in asked]))
+    want = [ratio(a, b) for a, b in asked]
+    assert got == pytest.approx(want, abs=1e-5) and sum(max(c[x] for c in pairs) > 5 for x in asked) > 20
+
+
 def test_toxicity_counts_all_but_the_fitted_documents(spark):
     r = random.Random(4)
     plain = [f"w{i}" for i in range(60)]
