@@ -3,11 +3,14 @@
 A text is normalised (ASCII case, copyright lines, equivalent spellings, punctuation, white
 space) and hashed; the digest of the entire text is joined with those of known licences. Lines that
 name a licence are looked up the same way among the digests of known one-line notices. The licence
-table is a constant of a few dozen rows, so both look-ups stay local to the text's row.
+table (``licences.json``: full texts, each with its titles and without) is a constant of about a hundred rows, so both look-ups stay local to the text's row.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,21 @@ TEXTS = (
                    "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
                    "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
 )
+
+
+def _catalogue():
+    """(id, text) of each full text under each of its titles and under none, whole and up to where its terms end."""
+    for x in json.loads(pkgutil.get_data(__package__, "licences.json")):
+        bodies = [x["text"]]
+        if x["end"]:
+            terms = x["text"].split(x["end"])[0]
+            bodies += [terms + x["end"], terms]
+        for body in bodies:
+            for title in [*x["titles"], ""]:
+                yield x["id"], f"{title}\n\n{body}".strip()
+
+
+TEXTS += tuple(x for x in _catalogue() if x not in TEXTS)
 #: (id, line) of notices that name a licence in one line.
 NOTICES = (
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),

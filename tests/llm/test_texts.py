@@ -278,3 +278,16 @@ def test_licences(spark):
     got = [tuple(r) for r in license.scan(spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, digest string")).orderBy("doc_id").select("doc_id", "license_id", "notices").collect()]
     assert got == [(1, "MIT", ""), (2, "MIT", ""), (3, None, ""), (4, None, ""), (5, None, "CC-BY-NC-4.0,MIT"), (5, None, "CC-BY-NC-4.0,MIT")]
     assert license.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licences_of_full_texts_with_and_without_titles(spark):
+    mit = dict(license.TEXTS[:4])["MIT"].split("\n\n", 1)[1]
+    rows = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2024 Someone\n\n" + mit), (None, "Some other title\n\n" + mit)]
+    known = {}
+    for name, text in license.TEXTS:
+        known.setdefault(name, []).append(text)
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"):
+        whole = max(known[name], key=len)
+        rows += [(name, "Copyright (c) 2020 Someone\n" + whole.replace("\n", "\n  ")), (None, whole[:len(whole) // 2])]
+    got = {r.doc_id: r.license_id for r in license.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for x, _ in rows]
