@@ -33,6 +33,8 @@ WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13
 _R = np.random.default_rng(7)
 _A = _R.integers(1, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 2**63, WIDTH, dtype=np.uint64)
+#: Similarity that MATCH_INDEX and MATCH_FULL are made for; below it they would lose links.
+LEAST_PERCENT = 80
 FEATURES = "doc_id long, th long, n_shingles long, cid binary, tokens array<long>, sig binary"
 
 
@@ -200,6 +202,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     to one class and each gives a row; null ids stay null and count as greater than any other. An empty table
     gives an empty result; further columns of ``docs`` are ignored.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the thresholds for candidates find links from {LEAST_PERCENT} percent on, not {percent}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     feats = cut(docs.mapInArrow(_features(shingle), FEATURES))
     classes = cut(feats.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "n_shingles", "tokens", "sig")).alias("x")).select("cid", "x.*"))

@@ -195,3 +195,11 @@ def test_components_of_chains_stars_and_loops(spark, monkeypatch, most):
     want = components({x for ab in links if ab[0] != ab[1] for x in ab}, links[:0] + [ab for ab in links if ab[0] != ab[1]])
     got = {x.node: x.root for x in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("run", [minhash.near_duplicates, minhash.one_per_group])
+def test_percents_that_candidates_are_not_made_for_are_refused(spark, run):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="60"):
+        run(df, percent=60)
+    assert run(df, percent=80).count() == 1
