@@ -153,7 +153,10 @@ def mixture(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it, or not at all."""
+    """``docs`` with each row repeated as often as the mix takes it, or not at all.
+
+    Rows without words (null, empty, blank) take nothing and always go, whatever the factor of their source; a source of such rows only goes whole.
+    """
     got = copy_numbers(cut(_units(docs)), weights, most).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_words", word_count(F.col("text").cast("string"))).withColumn("_th", F.xxhash64("text")).withColumn("_key", row_key("_words", "_th"))
     names = docs.columns
