@@ -197,6 +197,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW, _INV
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, equal for equal spans wherever they are."""
+    n = len(buf)
+    power, inverse = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
+    h = (total[ends] - total[starts]) * inverse[starts]
+    return mix(h ^ (ends - starts).astype(np.uint64))
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """Per word: start, end, document row and a 64-bit hash of its bytes. Words never span rows."""
     n = len(buf)
@@ -215,11 +225,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True):
     after[-1], after[:-1] = True, gap[1:]
     ends = np.flatnonzero(~gap & (after | edge[1:])) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return starts, ends, rows, mix(h ^ (ends - starts).astype(np.uint64))
+    return starts, ends, rows, span_hashes(buf, starts, ends)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> list[np.ndarray]:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import chat, fingerprint, license, mixing, pieces, toxicity
@@ -83,15 +84,43 @@ def best_score(p, text):
     return best[-1]
 
 
-def test_pieces_round_trip_and_are_optimal(spark):
-    p = pieces.Pieces(pieces.load_model())
-    assert not p.marked_inside
+def test_unigram_paths_are_optimal():
+    p = pieces.Pieces(pieces.load_model(), pieces.UNIGRAM)
     for t in SAMPLES[1:4] + ["unbelievable tokenization of thhehent"]:
         ids = p.encode(t)
         assert p.decode(ids) == t
         got = sum(p.scores[i] for i in ids if i not in p.byte_of)
         characters = len(bytes(p.byte_of[i] for i in ids if i in p.byte_of).decode())
         assert got + characters * p.unknown == pytest.approx(best_score(p, t))
+
+
+def test_bpe_ids_are_those_of_the_tokenizer_itself(monkeypatch):
+    """Against the library's own encoder, and merging as it is defined; the memory overflows meanwhile."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    monkeypatch.setattr(pieces, "JOINS", 500)
+    model = pieces.load_model()
+    assert pieces.model_type(model) == pieces.BPE
+    p, sp, r = pieces.Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(8)
+    texts = [t or "" for t in SAMPLES if pieces.MARK not in (t or "")] + ["".join(r.choice("abcdeéß  \nth漢e字🙂in.-'\u200b") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    ids, at = p.encode_all(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [sp.encode(t) for t in texts]
+    assert p.comes_back(pa.array(texts), ids, at).all()
+    assert not p.comes_back(pa.array(["x"]), p.encode_all(pa.array(["y"]))[0], np.array([0, 1])).any()
+    for t in ["▁unbelievable", "▁▁▁the", "thhehent"]:
+        assert [p.strings[i] for i in p.chunk(t)] == p.merge(t)
+
+
+def test_models_that_change_texts_are_refused():
+    model = pieces.load_model()
+    with pytest.raises(ValueError, match="only unigram and BPE"):
+        pieces.model_type(bytes([2 << 3 | 2, 2, 3 << 3, 3]) + b"\x1a\x04\x18\x01\x20\x00")  # a word model
+    with pytest.raises(ValueError, match="normalises"):
+        pieces.model_type(model + b"\x1a\x04\x18\x01\x20\x01")  # surplus blanks go
+
+
+def test_pieces_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(SAMPLES)), "doc_id long, text string")
     assert all(r.round_trip for r in pieces.piece_report(df).collect())
     back = pieces.decoded(pieces.encoded(df.withColumnRenamed("doc_id", "piece_ids")), "piece_ids_")
@@ -99,6 +128,20 @@ def test_pieces_round_trip_and_are_optimal(spark):
     assert pieces.piece_report(df.limit(0)).count() == 0
 
 
+def test_pieces_of_nulls_repeats_clashing_columns_and_long_texts(spark):
+    rows = [(None, "a b", "x"), (1, "a b", None), (1, "a b", None), (2, None, "y"), (3, "", "z"), (4, "word " * 300_000 + "▁" * 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece_ids string")
+    got = {(r.doc_id, r.n_pieces, r.ids_sha256) for r in pieces.piece_report(df).collect()}
+    ids = pieces.Pieces(pieces.load_model()).encode("a b")
+    digest = lambda x: hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest()
+    assert {(None, len(ids), digest(ids)), (1, len(ids), digest(ids)), (2, 0, digest([])), (3, 0, digest([]))} <= got and len(got) == 5
+    assert pieces.piece_report(df).count() == len(rows)
+    e = pieces.encoded(df)
+    assert e.columns == ["doc_id", "text", "piece_ids", "piece_ids_"]
+    assert {r.doc_id: r.piece_ids_ for r in e.collect() if r.doc_id in (2, 3)} == {2: None, 3: []}
+    assert pieces.encoded(df.limit(0)).count() == 0
+
+
 def test_prefix_hashes_answer_spans():
     a, b = fingerprint.Prefix("abcabcabd"), fingerprint.Prefix("xabcabce")
     assert a.equal(0, a, 3, 3) and not a.equal(0, a, 6, 3)
