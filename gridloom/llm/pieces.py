@@ -10,10 +10,9 @@ text up to that position.
   what merging gives. A link there holds if merging leaves it as it is next to the last piece before
   it; exactly one of the pieces that end at a position does, so the pass gives the ids of the model's own tokenizer.
 
-Pieces hold the blank mark only as a prefix (checked when the model is loaded), so no piece
-spans the start of a mark that follows another character: a text falls into
-chunks (marks, then other characters). Batches are cut into chunks as flat bytes; each distinct chunk is encoded
-once and remembered in a table of bounded size, and ids are gathered from there.
+A text falls into chunks wherever no piece of the vocabulary holds the bytes on both sides, as mostly between words and
+at punctuation: neither scores nor merges reach across. Batches are cut into chunks as flat bytes; each distinct chunk is
+encoded once and remembered in a table of bounded size, and ids are gathered from there.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ _MARK = MARK.encode()
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 #: Chunks that a task remembers (twice as many at most), the longest of them, and pairs of pieces.
-REMEMBERED, REMEMBERED_BYTES, JOINS = 100_000, 64, 500_000
+REMEMBERED, REMEMBERED_BYTES, JOINS = 200_000, 64, 500_000
 UNIGRAM, BPE = 1, 2
 _WORST = -1e300
 
@@ -97,7 +96,6 @@ class Pieces:
         self.scores = [0.0] * n
         self.names: dict[str, int] = {}
         self.trie = ahocorasick.Automaton()
-        self.marked_inside = False
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -111,18 +109,21 @@ class Pieces:
             self.scores[i] = sp.get_score(i)
             self.names[piece] = i
             self.trie.add_word(piece, (len(piece), i, self.scores[i]))
-            self.marked_inside |= MARK in piece.lstrip(MARK)
         self.trie.make_automaton()
         if min(self.byte_ids) < 0:
             raise ValueError("the model has no byte pieces, so not every text can be encoded")
-        if self.marked_inside:
-            raise ValueError("a piece holds the blank mark inside, so texts cannot be cut into chunks")
         self.strings = {i: p for p, i in self.names.items()}
         self.chars = [len(self.strings.get(i, "")) for i in range(n)]
         self.unknown = min(self.scores) - UNKNOWN
         size = np.array([len(t) for t in self.texts], np.int64)
         self.size, self.at = size, np.cumsum(size) - size
         self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
+        # Pairs of bytes that a piece, or a character, holds next to each other.
+        self.inside = np.zeros(1 << 16, bool)
+        self.inside.reshape(256, 256)[:, 0x80:0xC0] = True
+        for i in self.strings:
+            t = np.frombuffer(self.texts[i], np.uint8).astype(np.int32)
+            self.inside[t[:-1] << 8 | t[1:]] = True
         self.joins: dict[int, bool] = {}
         self.forget()
 
@@ -213,12 +214,11 @@ class Pieces:
         return ids.tolist()
 
     def _chunks(self, buf: np.ndarray, offsets: np.ndarray):
-        """Starts and ends of the chunks of a slice."""
+        """Starts and ends of the chunks of a slice: cut wherever no piece holds the bytes on both sides."""
         n = len(buf)
         first = np.zeros(n + 3, bool)
         first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        blank = buf == 32
-        first[1:n] |= blank[1:] & ~blank[:-1]
+        first[1:n] |= ~self.inside[buf[:-1].astype(np.int32) << 8 | buf[1:]]
         marks = np.flatnonzero((buf[:-2] == _MARK[0]) & (buf[1:-1] == _MARK[1]) & (buf[2:] == _MARK[2])) if n > 2 else np.zeros(0, np.int64)
         first[marks] = first[marks + 3] = True
         starts = np.flatnonzero(first[:n])
