@@ -124,6 +124,21 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def named(least, key) -> F.Column:
+    """Name of a class of rows that sorts as its least id, null last: nine bytes of that, then some of the class's own key.
+
+    The least name of a component then tells its least id, without another look at its members.
+    """
+    digits = F.lpad(F.hex(least.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.when(least.isNull(), F.concat(F.unhex(F.lit("01" + "0" * 16)), key)).otherwise(F.concat(F.unhex(F.concat(F.lit("00"), digits)), F.substring(key, 1, 8)))
+
+
+def first_id(node) -> F.Column:
+    """The least id that a class is named by."""
+    n = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", n)
+
+
 # ---- Arrow and numpy -----------------------------------------------------
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:

@@ -24,10 +24,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, settled, shingle_sets
+from gridloom.llm.common import components, cut, first_id, named, settled, shingle_sets
 
 WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13, 80, 256, 2_000_000, 4
 _R = np.random.default_rng(7)
@@ -192,6 +192,27 @@ def _prefixes(classes: DataFrame) -> DataFrame:
             .select("cid", F.explode(F.slice("lists", F.lit(1), F.col("n"))).alias("x")).select("cid", "x.token"))
 
 
+def _dealt(labelled: DataFrame, sizes: DataFrame, more: DataFrame) -> DataFrame:
+    """Members (token, cid, label) of lists of more than one label, with ``more`` of their class, in pairs of blocks: own, bi, bj added.
+
+    A label of ``BLOCK`` members or more has blocks of its own, which are not paired with one another; the others
+    share blocks, dealt by a hash. So a list of one large component and a few strangers costs their product, not its square.
+    """
+    share = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    group = labelled.join(sizes, "cid").groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).withColumn("large", (F.col("n") >= BLOCK) | (F.col("s") >= BLOCK_SHINGLES))
+    small = lambda c: F.coalesce(F.sum(F.when(~F.col("large"), F.col(c))), F.lit(0)).alias(c)
+    lists = group.groupBy("token").agg(F.count("*").alias("labels"), small("n"), small("s"), F.coalesce(F.sum(F.when(F.col("large"), share)), F.lit(0)).alias("of_large"))
+    # Written out, so that a join with them can split a long list.
+    lists = cut(lists.where("labels > 1").select("token", share.alias("shared"), (share + F.col("of_large")).cast("int").alias("total")))
+    before = Window.partitionBy("token").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    large = cut(group.where("large").select("token", "label", share.alias("parts"), F.coalesce(F.sum(share).over(before), F.lit(0)).cast("int").alias("offset")))
+    x = labelled.join(lists, "token").join(large, ["token", "label"], "left").join(more, "cid")
+    x = x.withColumn("low", F.when(F.col("parts").isNull(), 0).otherwise(F.col("shared") + F.col("offset"))).withColumn("high", F.when(F.col("parts").isNull(), 0).otherwise(F.col("low") + F.col("parts")))
+    x = x.withColumn("own", F.col("low") + F.pmod(F.xxhash64("cid"), F.coalesce("parts", "shared")).cast("int"))
+    x = x.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda i: (i < F.col("low")) | (i >= F.col("high")))))
+    return x.select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "label", *[c for c in more.columns if c != "cid"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -206,7 +227,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         raise ValueError(f"the thresholds for candidates find links from {LEAST_PERCENT} percent on, not {percent}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     feats = cut(docs.mapInArrow(_features(shingle), FEATURES))
-    classes = cut(feats.where("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "th", "n_shingles", "tokens", "sig")).alias("x")).select("cid", "x.*"))
+    # Classes are named by their least doc_id, so the least name of a component tells its component_id.
+    classes = feats.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th", "n_shingles", "tokens", "sig")).alias("x"))
+    classes = cut(classes.select(F.col("cid").alias("class"), named(F.col("least"), F.col("cid")).alias("cid"), "x.*"))
     prefix = cut(_prefixes(classes))
     sig = classes.select("cid", "sig")
 
@@ -232,40 +255,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
         return components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
-    hubs = prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1")
+    hubs = cut(prefix.groupBy("token").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1"))
     comp = components(matching(prefix.join(hubs, "token").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()))
 
     # Members whose component is not that of their hub meet HUBS more of the list, picked by hash.
     labelled = with_labels(comp)
     picks = [F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), F.col("cid").alias("b"), F.col("label").alias("lb"))) for i in range(HUBS)]
     hubs = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*picks).alias("x")).where("lo <> hi")
-    pairs = labelled.join(hubs.select("token", "x"), "token").select("cid", "label", F.explode("x").alias("x")).where("label <> x.lb")
+    pairs = labelled.join(cut(hubs.select("token", "x")), "token").select("cid", "label", F.explode("x").alias("x")).where("label <> x.lb")
     pairs = pairs.select(F.greatest("cid", "x.b").alias("a"), F.least("cid", "x.b").alias("b")).distinct()
     comp = joined(comp, matching(pairs))
 
     # Lists that still hold more than one component, in blocks.
-    labelled = with_labels(comp)
-    n_parts = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
-    sizes = classes.select("cid", "sig", "n_shingles")
-    mixed = (labelled.join(sizes.select("cid", "n_shingles"), "cid").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), n_parts.alias("n"))
-             .where("lo <> hi").select("token", F.ceil("n").cast("int").alias("parts")))
     lists = prefix.groupBy("cid").agg(F.sort_array(F.collect_list("token")).alias("lists"))
-    members = (labelled.join(mixed, "token").join(sig, "cid").join(lists, "cid")
-               .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-               .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-               .select("token", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cid", "label", "sig", "lists"))
+    members = _dealt(with_labels(comp), classes.select("cid", "n_shingles"), sig.join(lists, "cid"))
     members = members.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "cid")
     # Only members with an open match travel again, with their texts.
     open_ = members.mapInArrow(_blocks, OPEN).join(texts, "cid").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "pos")
     second = cut(open_.select("token", "bi", "bj", "cid", "label", "open", "packed").mapInArrow(_verified(shingle, percent), "a binary, b binary"))
     comp = joined(comp, second)
 
-    least = feats.groupBy("cid").agg(F.min("doc_id").alias("first_id"))
-    rooted = least.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("root", "cid").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.join(lowest, "root").select("cid", "component_id")
-    return feats.select("doc_id", "n_shingles", "cid").join(of, "cid").select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    roots = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select(F.col("class").alias("cid"), first_id(F.coalesce("root", "cid")).alias("component_id"))
+    # Texts without words are classes of their own and not among them.
+    found = feats.select("doc_id", "n_shingles", "cid").join(roots, "cid", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_per_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

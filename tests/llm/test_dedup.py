@@ -3,10 +3,11 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import common, covertree, minhash, suffix
 
@@ -59,8 +60,10 @@ def test_near_duplicates_match_brute_force(spark, k):
     assert sorted(r.doc_id for r in minhash.one_per_group(df, k).collect()) == sorted(i for i in want if want[i] == i)
 
 
-def test_large_group_without_a_common_hub(spark):
-    """Every copy differs from every other; only chains of links join them."""
+@pytest.mark.parametrize("block", [256, 4])
+def test_large_group_without_a_common_hub(spark, monkeypatch, block):
+    """Every copy differs from every other; only chains of links join them. Small blocks give large labels blocks of their own."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     rows = []
@@ -84,6 +87,31 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert got == sorted([(None, 2, 3, False), (3, 2, 3, True), (3, 2, 3, True), (None, 0, None, True)], key=str)
 
 
+def test_classes_are_named_in_order_of_their_least_ids(spark):
+    ids = [-(2**63), -7, -1, 0, 1, 255, 256, 2**40, 2**63 - 1, None]
+    rows = spark.createDataFrame([(i, bytes([k]) * 16) for k, i in enumerate(ids)], "i long, c binary").select("i", common.named(F.col("i"), F.col("c")).alias("n"))
+    got = rows.withColumn("back", common.first_id(F.col("n"))).collect()
+    assert all(r.i == r.back for r in got)
+    assert [r.i for r in sorted(got, key=lambda r: bytes(r.n))] == ids
+
+
+def test_members_of_mixed_lists_meet_all_of_other_labels_once_a_pair(spark, monkeypatch):
+    """A dominant label's blocks never meet each other, so rows grow with the product of both sides."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    label = {i: "big" if i < 100 else "mid" if i < 120 else f"l{i}" for i in range(130)}
+    lab = spark.createDataFrame([(t, bytes([i]), y.encode()) for t in (5, 6) for i, y in label.items() if t == 5 or y == "big"], "token long, cid binary, label binary")
+    size = spark.createDataFrame([(bytes([i]), 3) for i in label], "cid binary, n_shingles long")
+    rows = minhash._dealt(lab, size, size.select("cid")).collect()
+    assert {r.token for r in rows} == {5}
+    met = Counter()
+    for bi, bj in {(r.bi, r.bj) for r in rows}:
+        here = [(r.cid[0], r.own) for r in rows if (r.bi, r.bj) == (bi, bj)]
+        met.update((i, j) for i, a in here for j, b in here if i < j and (bi == bj or a != b))
+    assert all(met[i, j] == (1 if label[i] != label[j] else met[i, j]) for i in label for j in label if i < j)
+    assert all(label[i] == label[j] and label[i].startswith("l") or label[i] != label[j] for i, j in met)
+    assert len(rows) < 130 * 8
+
+
 def cut_by_hand(rows, n):
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
