@@ -16,10 +16,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut
+from gridloom.llm.common import components, cut, first_id, named
 
 BLOCK, PIVOTS, LEAF, SLACK = 2048, 256, 64, 1e-9
 
@@ -55,6 +55,8 @@ def _celled(batches, pivots):
         dims, m = (np.array(batch.column(c).to_pylist()) for c in ("dim", "m"))
         raw = batch.column("vector").to_pylist()
         for d in np.unique(dims):
+            if int(d) not in pivots:
+                continue  # one cell
             p = pivots[int(d)]
             for i in np.array_split(np.flatnonzero(dims == d), max(1, (dims == d).sum() // 1024)):
                 if len(i):
@@ -164,14 +166,19 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
     spark = embeddings.sparkSession
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = cut(e.mapInArrow(_vectors, "vec_id long, key binary, label string, dim int, vector binary"))
-    classes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    live = cut(rows.where("vector IS NOT NULL").groupBy("key", "label", "dim").agg(F.first("vector").alias("vector"), F.count("*").alias("n")))
+    live = rows.where("vector IS NOT NULL").groupBy("key", "label", "dim").agg(F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    # Classes are named by their least vec_id, so the least name of a component tells its component_id.
+    live = cut(live.select(F.col("key").alias("class"), named(F.col("least"), F.col("key")).alias("key"), "label", "dim", "vector", "n"))
 
-    dims = [r.dim for r in live.select("dim").distinct().orderBy("dim").collect()]
-    pivots = {d: unit([r.vector for r in live.where(F.col("dim") == d).orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()]) for d in dims}
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shares = live.groupBy("label", "dim").agg(F.least(F.lit(PIVOTS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("m"))
+    # Dimensions with a label of more than one block, at most a row for BLOCK vectors, and their pivots.
+    wanted = shares.groupBy("dim").agg(F.max("m").alias("k")).where("k > 1")
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("key"), "key"))
+    chosen = live.select("dim", "key", "vector").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).join(wanted, "dim").where("rank <= k")
+    held: dict[int, list] = {}
+    for r in chosen.select("dim", "rank", "vector").collect():
+        held.setdefault(r.dim, []).append((r["rank"], r.vector))
+    pivots = {d: unit([v for _, v in sorted(p)]) for d, p in held.items()}
     celled = cut(live.join(shares, ["label", "dim"]).mapInArrow(partial(_celled, pivots=pivots), "key binary, label string, dim int, vector binary, n long, cell int, far double"))
     cells = celled.groupBy("label", "dim", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
 
@@ -180,8 +187,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
                                   "dim int, c0 int, c1 int, apart double")
     x = cells.select("label", "dim", F.col("cell").alias("c0"), F.col("radius").alias("r0"), F.col("parts").alias("p0"))
     y = cells.select("label", "dim", F.col("cell").alias("c1"), F.col("radius").alias("r1"), F.col("parts").alias("p1"))
-    pairs = (x.join(y, ["label", "dim"]).where("c0 <= c1").join(apart, ["dim", "c0", "c1"])
-             .where((F.col("c0") == F.col("c1")) | (F.col("apart") - F.col("r0") - F.col("r1") <= float(np.sqrt(2 - 2 * cosine)) + SLACK)))
+    # Written out, so that a join with them can split a large cell.
+    pairs = cut(x.join(y, ["label", "dim"]).where("c0 <= c1").join(apart, ["dim", "c0", "c1"], "left")
+             .where((F.col("c0") == F.col("c1")) | (F.col("apart") - F.col("r0") - F.col("r1") <= float(np.sqrt(2 - 2 * cosine)) + SLACK)).select("label", "dim", "c0", "c1", "p0", "p1"))
     part = lambda p: F.pmod(F.xxhash64("key", F.lit(3)), F.col(p)).cast("int")
     from_a = (celled.withColumnRenamed("cell", "c0").join(pairs, ["label", "dim", "c0"]).withColumn("s0", part("p0"))
               .withColumn("s1", F.explode(F.expr("sequence(IF(c0 = c1, s0, 0), p1 - 1)"))).withColumn("side", F.lit(0)))
@@ -195,9 +203,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98) -> DataFrame:
 
     links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     comp = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
-    rooted = classes.join(comp, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(lowest, "root").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = rows.select("vec_id", "key", F.col("vector").isNotNull().alias("live")).join(of, "key")
+    of = live.select("class", "key", "n").join(comp, "key", "left").join(links, "key", "left").select(
+        F.col("class").alias("key"), first_id(F.coalesce("root", "key")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    out = rows.select("vec_id", "key", F.col("vector").isNotNull().alias("live")).join(of, "key", "left")
+    out = out.withColumn("component_id", F.when(F.col("live"), F.col("component_id")).otherwise(F.col("vec_id")))
     return out.select("vec_id", F.when(F.col("live"), F.col("links")).otherwise(0).cast("long").alias("n_links"), "component_id",
                       F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
