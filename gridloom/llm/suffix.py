@@ -8,12 +8,14 @@ its context.
 
 1. Each task sorts its anchors and combines equal contexts: all but those of its least
    document are removed at once. The rest go to buckets that sampled splitters
-   range-partition by the leading 8 bytes of the suffix; equal leading bytes never
-   straddle a boundary, so neighbours across buckets always differ there.
-2. A bucket sorts locally, key by key (8 leading bytes, the next 8, the context,
+   range-partition by the leading bytes of the suffix and then its context, so that not even
+   one seed with very many contexts makes a large bucket.
+2. A bucket sorts locally by multikey quicksort (8 leading bytes, the next 8 and the context,
    doc_id). Runs of one context are compared with the run's least document.
 3. Where runs of one seed hold different contexts, the contexts themselves are fetched
-   and compared window by window, again against the least document of each window.
+   and compared window by window, again against the least document of each window. A seed
+   that reaches across a boundary (it is that of a splitter) is compared with its other buckets:
+   its windows are combined by the tasks that fetch them and meet by their hash, wherever they were.
 4. The removed ranges meet the texts, bucketed by document, and are cut out.
 
 Hot strings reach a bucket once a task, whatever the number of documents that hold them.
@@ -37,7 +39,10 @@ SEED = 16
 BUCKET_BYTES = 16 << 20
 #: Bytes of anchors that a task sorts and combines at once.
 HELD_BYTES = 24 << 20
-SAMPLE_DOCS = 2000
+#: For splitters: documents sampled at least, keys of each, and keys a bucket beyond that. The driver holds no more.
+SAMPLE_DOCS, SAMPLE_KEYS, BUCKET_KEYS = 2000, 32, 4
+#: Rows up to which quicksort leaves the rest to a plain sort, and windows that a task combines at once.
+SMALL, HELD_WINDOWS = 4096, 2_000_000
 _U = np.uint64
 _C = np.random.default_rng(11).integers(1, 2**63, 12, dtype=np.uint64) | _U(1)
 NULL_ID = np.iinfo(np.int64).max
@@ -114,9 +119,32 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int):
     return x, starts[first], starts[last], m[first]
 
 
+def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by several keys, the first the most significant; equal rows stay in order.
+
+    Rows are parted into those below, at and above a pivot of the current key; only those at it go on to the next key.
+    """
+    order = np.arange(len(keys[0]))
+    stack = [(0, len(order), 0)]
+    while stack:
+        low, high, depth = stack.pop()
+        part = order[low:high]
+        if len(part) <= SMALL:
+            order[low:high] = part[np.lexsort([k[part] for k in keys[depth:][::-1]])]
+            continue
+        k = keys[depth][part]
+        some = k[::max(1, len(k) // 64)]
+        pivot = np.partition(some, len(some) // 2)[len(some) // 2]
+        below, above = k < pivot, k > pivot
+        a, b = low + int(below.sum()), high - int(above.sum())
+        order[low:high] = np.concatenate([part[below], part[~(below | above)], part[above]])
+        stack += [(i, j, d) for i, j, d in ((low, a, depth), (a, b, depth + 1), (b, high, depth)) if j - i > 1 and d < len(keys)]
+    return order
+
+
 def _least(keys: list[np.ndarray], doc: np.ndarray):
     """Sort by keys, the first the most significant, then doc: (order, group of each, group starts)."""
-    order = np.lexsort([doc, *keys[::-1]])
+    order = multikey_quicksort([*keys, doc])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
@@ -145,7 +173,28 @@ def _records(batch, length: int):
 
 
 def _key(r) -> list[np.ndarray]:
-    return [r["k0"], r["k1"], (r["c0"].astype(np.uint64) << _U(16)) | r["c1"]]
+    """Leading bytes; digests of the next bytes and of the context."""
+    return [r["k0"], (r["k1"].astype(np.uint64) << _U(48)) | (r["c0"].astype(np.uint64) << _U(16)) | r["c1"]]
+
+
+def split_at(keys: list[np.ndarray], splitters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where the ranges between splitters begin and end in sorted keys; a splitter begins the range after it."""
+    first = np.searchsorted(keys[0], splitters[0], "left")
+    last = np.searchsorted(keys[0], splitters[0], "right")
+    for i in np.flatnonzero(first < last):
+        first[i] += np.searchsorted(keys[1][first[i]:last[i]], splitters[1][i], "left")
+    return np.concatenate([[0], first, [len(keys[0])]])
+
+
+def _splitters(k0: np.ndarray, k1: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most buckets - 1 quantiles of the distinct keys of a sample, in order."""
+    order = multikey_quicksort([k0, k1])
+    k0, k1 = k0[order], k1[order]
+    new = np.ones(len(k0), bool)
+    new[1:] = (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])
+    at = np.flatnonzero(new)
+    at = at[np.unique(np.linspace(0, len(at), buckets + 1).astype(int)[1:-1])] if len(at) else at
+    return k0[at], k1[at]
 
 
 def _spans(r, chosen, length: int) -> dict[str, np.ndarray]:
@@ -178,8 +227,8 @@ BLOCKS = "kind int, bucket int, block binary"
 
 
 @settled
-def _map(batches, length, splitters, held_bytes=HELD_BYTES):
-    held, size = [], 0
+def _map(batches, length, shared, held_bytes=HELD_BYTES):
+    held, size, splitters = [], 0, shared.value
 
     def out():
         r = stack(held)
@@ -188,9 +237,9 @@ def _map(batches, length, splitters, held_bytes=HELD_BYTES):
         r = {k: v[order] for k, v in r.items()}
         later = r["doc"] > r["doc"][start][group]
         # Spans go along in buckets of their own kind, any bucket will do.
-        yield 0, int(r["k0"][0] % _U(len(splitters) + 1)), pack(_spans(r, later, length))
+        yield 0, int(r["k0"][0] % _U(len(splitters[0]) + 1)), pack(_spans(r, later, length))
         r = {k: v[~later] for k, v in r.items()}
-        edges = np.concatenate([[0], np.searchsorted(r["k0"], splitters, "left"), [len(r["k0"])]])
+        edges = split_at(_key(r), splitters)
         for k in np.flatnonzero(np.diff(edges)):
             yield 1, int(k), pack({c: v[edges[k]:edges[k + 1]] for c, v in r.items()})
 
@@ -205,8 +254,9 @@ def _map(batches, length, splitters, held_bytes=HELD_BYTES):
         yield _blocks(out())
 
 
-def _bucket(key, table, length, buckets):
-    """One bucket of suffixes: spans (kind 0) and contexts to compare (kind 1), by document."""
+def _bucket(key, table, length, buckets, shared):
+    """One bucket of suffixes: spans (kind 0) and contexts to compare within it (kind 1) or with other buckets (kind 2), by document."""
+    number = key[0].as_py()
     kinds = table.column("kind").to_pylist()
     blocks = [unpack(b) for b in table.column("block").to_pylist()]
     rows = [_by_doc(0, stack([b for k, b in zip(kinds, blocks) if k == 0]), buckets)] if 0 in kinds else []
@@ -220,8 +270,15 @@ def _bucket(key, table, length, buckets):
         seed = np.cumsum(new) - 1
         contexts = np.bincount(seed)
         least, most = (f.reduceat(head["doc"], np.flatnonzero(new)) for f in (np.minimum, np.maximum))
-        ask = ((contexts > 1) & (least < most))[seed]
-        rows.append(_by_doc(1, {c: head[c][ask] for c in ("doc", "tag", "a", "ma", "n")} | {"to": np.full(ask.sum(), key[0].as_py(), np.int32)}, buckets))
+        across = np.zeros(len(seed), bool)
+        for i in (number - 1, number):
+            if 0 <= i < len(shared.value[0]):
+                across |= (head["k0"] == shared.value[0][i]) & (head["k1"] == (shared.value[1][i] >> _U(48)).astype(np.uint16))
+        inside = ((contexts > 1) & (least < most))[seed] & ~across
+        # Seeds are dealt anew: which of them have contexts to compare does not follow their order.
+        to = (mix(head["k0"] ^ head["k1"]) % _U(buckets)).astype(np.int32)
+        for kind, ask in ((1, inside), (2, across)):
+            rows.append(_by_doc(kind, {c: head[c][ask] for c in ("doc", "tag", "a", "ma", "n")} | {"to": to[ask]}, buckets))
     return pa.Table.from_batches([_blocks(x for part in rows for x in part)])
 
 
@@ -231,9 +288,9 @@ def _texts(table):
     return list(zip(_ids(table.column("_id")).tolist(), table.column("_tag").to_pylist())), (z.decompress(x) for x in table.column("text").to_pylist())
 
 
-def _ranges(table, of):
-    """The blocks of a document bucket, by (id, tag): slices of columns sorted so."""
-    r = stack([unpack(b) for b in table.column("block").to_pylist()])
+def _ranges(table):
+    """The blocks of a document bucket, by (id, tag): slices of columns sorted so, among them the block's kind."""
+    r = stack([(b := unpack(x)) | {"kind": np.full(len(b["doc"]), k, np.int8)} for k, x in zip(table.column("kind").to_pylist(), table.column("block").to_pylist())])
     if not r:
         return {}, r
     order = np.lexsort([r["a"], r["tag"], r["doc"]])
@@ -242,51 +299,98 @@ def _ranges(table, of):
     return {(int(r["doc"][i]), int(r["tag"][i])): (i, j) for i, j in zip(new, [*new[1:], len(order)])}, r
 
 
-def _fetch(docs, asks, length):
-    """Contexts asked for, as blocks for their suffix bucket."""
-    where, r = _ranges(asks, None)
-    if not where or not docs.num_rows:
-        return pa.Table.from_batches([_blocks([])])
-    parts, meta, seen = [], [], set()
-    for key, text in zip(*_texts(docs)):
-        if key in where and key not in seen:
-            seen.add(key)
-            i, j = where[key]
-            parts += [text[a:a + n + length] for a, n in zip(r["a"][i:j].tolist(), r["n"][i:j].tolist())]
-            meta.append(np.arange(i, j))
-    meta = np.concatenate(meta)
-    r = {k: v[meta] for k, v in r.items()}
-    rows = []
-    for to in np.unique(r["to"]):
-        mine = np.flatnonzero(r["to"] == to)
-        rows.append((1, int(to), pack({c: r[c][mine] for c in ("doc", "tag", "a", "n")} | {"text": np.frombuffer(b"".join(parts[i] for i in mine), np.uint8)})))
-    return pa.Table.from_batches([_blocks(rows)])
-
-
-def _compare(key, table, length, buckets):
-    """Every window of the contexts of a bucket against the least document that holds it."""
-    blocks = [unpack(b) for b in table.column("block").to_pylist()]
-    text = np.concatenate([b.pop("text") for b in blocks])
-    r = stack(blocks)
+def _windows(texts: list[bytes], r, length: int):
+    """Every window of contexts: its hash, the context it is of, and its start therein."""
     count = r["n"].astype(np.int64) + 1
+    text = np.frombuffer(b"".join(texts), np.uint8)
     base = np.concatenate([[0], np.cumsum(count + length - 1)])[:-1]
     owner = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     padded = np.zeros(len(text) + 64, np.uint8)
     padded[:len(text)] = text
-    h = window_hash(_at(padded, len(text) + 48), base[owner] + step, length)
-    order, group, start = _least([h], r["doc"][owner])
-    doc = r["doc"][owner][order]
-    hit = np.sort(order[doc > doc[start][group]])
-    # Neighbouring windows of a context make one range.
-    if len(hit):
-        new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
-        first, last = hit[new], hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])]
-    else:
-        first = last = hit
+    return window_hash(_at(padded, len(text) + 48), base[owner] + step, length), owner, step
+
+
+def _merged(r, owner, step, hit, length: int):
+    """Spans of windows that go, neighbours of one context made one range."""
+    hit = np.sort(hit)
+    new = np.ones(len(hit), bool)
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
+    first, last = hit[new], hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])] if len(hit) else hit
     o = owner[first]
-    spans = {"doc": r["doc"][o], "tag": r["tag"][o], "a": (r["a"][o] + step[first]).astype(np.uint32), "n": (step[last] - step[first] + length).astype(np.uint16)}
-    return pa.Table.from_batches([_blocks(_by_doc(0, spans, buckets))])
+    return {"doc": r["doc"][o], "tag": r["tag"][o], "a": (r["a"][o] + step[first]).astype(np.uint32), "n": (step[last] - step[first] + length).astype(np.uint16)}
+
+
+def _dealt(texts: list[bytes], r, length: int, buckets: int):
+    """Windows of contexts whose seed is in several buckets: those that an earlier document of this task holds go (kind 0), the others meet by hash (kind 3)."""
+    h, owner, step = _windows(texts, r, length)
+    doc = r["doc"][owner]
+    order, group, start = _least([h], doc)
+    later = doc[order] > doc[order][start][group]
+    yield from _by_doc(0, _merged(r, owner, step, order[later], length), buckets)
+    left = order[~later]
+    to = (h[left] % _U(buckets)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[by], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(edges)):
+        x = left[by[edges[k]:edges[k + 1]]]
+        yield 3, int(k), pack({"h": h[x], "doc": doc[x], "tag": r["tag"][owner[x]], "a": (r["a"][owner[x]] + step[x]).astype(np.uint32)})
+
+
+def _fetch(docs, asks, length, buckets, held):
+    """Contexts asked for: as they are, by seed (kind 1), or in windows."""
+    where, r = _ranges(asks)
+    if not where or not docs.num_rows:
+        return pa.Table.from_batches([_blocks([])])
+    rows, seen, parts, meta, size = [], set(), {1: [], 2: []}, {1: [], 2: []}, 0
+
+    def across():
+        nonlocal size
+        if parts[2]:
+            rows.extend(_dealt(parts[2], {k: v[np.array(meta[2])] for k, v in r.items()}, length, buckets))
+        parts[2], meta[2], size = [], [], 0
+
+    for key, text in zip(*_texts(docs)):
+        if key not in where or key in seen:
+            continue
+        seen.add(key)
+        i, j = where[key]
+        for at, a, n, kind in zip(range(i, j), r["a"][i:j].tolist(), r["n"][i:j].tolist(), r["kind"][i:j].tolist()):
+            parts[kind].append(text[a:a + n + length])
+            meta[kind].append(at)
+            size += n + 1 if kind == 2 else 0
+        if size >= held:
+            across()
+    across()
+    at, text = np.array(meta[1], np.int64), parts[1]
+    for to in np.unique(r["to"][at]):
+        mine = np.flatnonzero(r["to"][at] == to)
+        rows.append((1, int(to), pack({c: r[c][at[mine]] for c in ("doc", "tag", "a", "n")} | {"text": np.frombuffer(b"".join(text[i] for i in mine), np.uint8)})))
+    return pa.Table.from_batches([_blocks(rows)])
+
+
+def _compare(key, table, length, buckets):
+    """Every window of the contexts of some seeds, and of those that met by hash, against the least document that holds it."""
+    by: dict[int, list] = {}
+    for kind, block in zip(table.column("kind").to_pylist(), table.column("block").to_pylist()):
+        by.setdefault(kind, []).append(unpack(block))
+    rows = []
+    if 0 in by:
+        rows.append(_by_doc(0, stack(by[0]), buckets))
+    if 1 in by:
+        text = [b.pop("text").tobytes() for b in by[1]]
+        r = stack(by[1])
+        h, owner, step = _windows(text, r, length)
+        order, group, start = _least([h], r["doc"][owner])
+        doc = r["doc"][owner][order]
+        rows.append(_by_doc(0, _merged(r, owner, step, order[doc > doc[start][group]], length), buckets))
+    if 3 in by:
+        r = stack(by[3])
+        order, group, start = _least([r["h"]], r["doc"])
+        r = {k: v[order] for k, v in r.items()}
+        later = r["doc"] > r["doc"][start][group]
+        rows.append(_by_doc(0, {k: r[k][later] for k in ("doc", "tag", "a")} | {"n": np.full(later.sum(), length, np.uint16)}, buckets))
+    return pa.Table.from_batches([_blocks(x for part in rows for x in part)])
 
 
 def _cover(where, r, key, n):
@@ -303,7 +407,7 @@ def _cover(where, r, key, n):
 
 
 def _report(docs, spans):
-    where, r = _ranges(spans, None)
+    where, r = _ranges(spans)
     out = {"doc_id": docs.column("_id").cast(pa.int64()), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
     for key, text in zip(*_texts(docs)):
         gone, runs = _cover(where, r, key, len(text))
@@ -314,7 +418,7 @@ def _report(docs, spans):
 
 
 def _without(docs, spans, names):
-    where, r = _ranges(spans, None)
+    where, r = _ranges(spans)
     texts, chars = [], []
     for key, text in zip(*_texts(docs)):
         gone, _ = _cover(where, r, key, len(text))
@@ -337,32 +441,38 @@ def _packed(batches, buckets):
 
 
 def _leading(batches, length):
-    """Up to 32 leading keys of each sampled document's suffixes, as signed longs, and its bytes."""
+    """Up to ``SAMPLE_KEYS`` keys of each sampled document's suffixes, in blocks."""
     for batch in batches:
-        keys = [r["k0"][np.argsort(mix(r["k0"]))[:32 * (len(np.unique(r["doc"])) or 1)]] for r in _records(batch, length)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], names=["k"])
+        keys = []
+        for r in _records(batch, length):
+            k0, k1 = _key(r)
+            some = np.argsort(mix(k0 ^ k1))[:SAMPLE_KEYS * (len(np.unique(r["doc"])) or 1)]
+            keys.append({"k0": k0[some], "k1": k1[some]})
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(stack(keys))], pa.binary())], names=["block"])
 
 
 def _ranged(docs: DataFrame, length: int):
     """(texts by document bucket, removed ranges by document bucket) of docs with text, _id, _tag."""
     spark = docs.sparkSession
-    n, size = docs.select("_id", F.length("text").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, size = docs.select("_id", F.octet_length("text").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(partitions(spark), int(size) // BUCKET_BYTES + 1)
     slim = docs.select("_id", "_tag", "text")
-    sample = slim.sample(min(1.0, 1.2 * SAMPLE_DOCS / max(n, 1)), seed=5).limit(2 * SAMPLE_DOCS)
-    keys = np.sort(np.array([r.k for r in sample.mapInArrow(partial(_leading, length=length), "k long").collect()], np.int64).view(np.uint64))
-    splitters = np.unique(keys[np.linspace(0, len(keys), buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
+    wanted = max(SAMPLE_DOCS, buckets * BUCKET_KEYS // SAMPLE_KEYS)
+    sample = slim.sample(min(1.0, 1.2 * wanted / max(n, 1)), seed=5)
+    keys = stack([unpack(r.block) for r in sample.mapInArrow(partial(_leading, length=length), "block binary").collect()])
+    shared = spark.sparkContext.broadcast(_splitters(keys["k0"], keys["k1"], buckets) if keys else (np.zeros(0, np.uint64),) * 2)
     by = lambda df: df.groupBy("bucket")
 
-    suffixes = slim.mapInArrow(partial(_map, length=length, splitters=splitters), BLOCKS)
-    step = partial(_bucket, length=length, buckets=buckets)
+    suffixes = slim.mapInArrow(partial(_map, length=length, shared=shared), BLOCKS)
+    step = partial(_bucket, length=length, buckets=buckets, shared=shared)
     found = cut(by(suffixes).applyInArrow(lambda key, t: step(key, t), BLOCKS))
     kinds = docs.schema
     packed_schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in kinds) + ", _null boolean, _to int"
     pack_texts = partial(_packed, buckets=buckets)
-    asked = found.where("kind = 1")
+    asked = found.where("kind > 0")
     slim_packed = slim.mapInArrow(pack_texts, "_id long, _tag int, text binary, _null boolean, _to int")
-    fetch, compare = partial(_fetch, length=length), partial(_compare, length=length, buckets=buckets)
+    fetch, compare = partial(_fetch, length=length, buckets=buckets, held=HELD_WINDOWS), partial(_compare, length=length, buckets=buckets)
     contexts = slim_packed.groupBy("_to").cogroup(by(asked)).applyInArrow(lambda a, b: fetch(a, b), BLOCKS)
     edges = by(contexts).applyInArrow(lambda key, t: compare(key, t), BLOCKS)
     spans = found.where("kind = 0").union(edges)

@@ -130,8 +130,43 @@ def cut_by_hand(rows, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n", [20, 50])
-def test_repeated_bytes_match_brute_force(spark, n):
+def test_multikey_quicksort_sorts_stably(monkeypatch):
+    monkeypatch.setattr(suffix, "SMALL", 8)
+    r = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 5), (5000, 3), (5000, 2**63), (300, 1)):
+        keys = [r.integers(0, top, n, dtype=np.uint64) for _ in range(3)]
+        assert (suffix.multikey_quicksort(keys) == np.lexsort(keys[::-1])).all()
+
+
+def test_splitters_part_even_one_seed_into_even_buckets():
+    """All suffixes begin alike, and only their contexts differ: no bucket holds much more than its share."""
+    r = np.random.default_rng(3)
+    k0, k1 = np.full(64_000, 7, np.uint64), r.integers(0, 2**63, 64_000, dtype=np.uint64)
+    some = r.choice(64_000, 64 * suffix.BUCKET_KEYS, replace=False)
+    s = suffix._splitters(k0[some], k1[some], 64)
+    assert len(s[0]) == 63
+    order = suffix.multikey_quicksort([k0, k1])
+    edges = suffix.split_at([k0[order], k1[order]], s)
+    assert edges[0] == 0 and edges[-1] == 64_000 and (np.diff(edges) >= 0).all() and np.diff(edges).max() < 5000
+    for k in range(63):
+        assert (k1[order][edges[k]:edges[k + 1]] < s[1][k]).all() and (k1[order][edges[k + 1]:edges[k + 2]] >= s[1][k]).all()
+
+
+def test_a_seed_of_many_contexts_is_compared_across_buckets(spark, monkeypatch):
+    """A passage in ever other surroundings; splitters from all keys, so that many fall among its contexts."""
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 256)
+    monkeypatch.setattr(suffix, "HELD_WINDOWS", 300)
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(64))
+    junk = lambda n: "".join(r.choice("ijklmnopqrstuv ") for _ in range(n))
+    rows = [(i, junk(r.randint(0, 20)) + passage[r.randint(0, 8):64 - r.randint(0, 8)] + junk(r.randint(0, 20))) for i in range(60)]
+    got = sorted(map(tuple, suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()), key=str)
+    assert got == cut_by_hand(rows, 50)
+
+
+@pytest.mark.parametrize("n, bucket", [(20, 16 << 20), (50, 16 << 20), (50, 512)])
+def test_repeated_bytes_match_brute_force(spark, monkeypatch, n, bucket):
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", bucket)
     rows = texts(5)
     df = spark.createDataFrame([(t, i, "s") for i, t in rows], "text string, doc_id long, bucket string")
     assert sorted(map(tuple, suffix.repeated_bytes(df, n).collect()), key=str) == cut_by_hand(rows, n)
