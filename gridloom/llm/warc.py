@@ -253,8 +253,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Records (``RECORDS``) of the archives of a manifest; WarcError fails the job."""
-    return manifest.repartition("path").mapInArrow(partial(_read, folder=folder, with_payload=with_payload), RECORDS)
+    """Records (``RECORDS``) of the archives of a manifest, an archive a task; WarcError fails the job."""
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(partial(_read, folder=folder, with_payload=with_payload), RECORDS)
 
 
 def round_trip(pages: DataFrame, shared: str, least: int = 0) -> DataFrame:
