@@ -26,7 +26,8 @@ from gridloom.llm.common import mix, partitions
 PRIMES = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
 SPAN, SKETCH = 16, 64
-BUCKET_BYTES = 16 << 20
+#: Texts a range of doc_ids holds, and ids sampled for each: what the driver knows of a range is these, its bounds and its least id.
+BUCKET_BYTES, BUCKET_KEYS, SAMPLE_DOCS = 64 << 20, 8, 20_000
 FIRST_ID = -(2**63)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -101,16 +102,27 @@ def likeness(a: str, b: str) -> float:
 
 # ---- The next document in order of doc_id ---------------------------------
 
-def _bucketed(batches, splitters, before):
+def splitters_of(ids: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
+    """At most buckets - 1 ids that part sampled documents into ranges of even size."""
+    order = np.argsort(ids, kind="stable")
+    total = np.cumsum(sizes[order].astype(float) + 1)
+    if not len(total) or buckets < 2:
+        return np.zeros(0, np.int64)
+    return np.unique(ids[order][np.searchsorted(total, total[-1] * np.arange(1, buckets) / buckets).clip(max=len(total) - 1)])
+
+
+def _bucketed(batches, shared):
     """Rows with their bucket; the first document of a bucket also goes to the bucket before it."""
+    splitters, head_ids, head_to = shared.value
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         ids = batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
         to = np.searchsorted(splitters, ids, "right")
         rows, bucket, extra = np.arange(len(ids)), to, np.zeros(len(ids), np.int32)
-        if len(heads := np.flatnonzero(np.isin(ids, list(before)))):
+        at = np.searchsorted(head_ids, ids).clip(max=len(head_ids) - 1)
+        if len(heads := np.flatnonzero(head_ids[at] == ids)):
             rows = np.concatenate([rows, heads])
-            bucket = np.concatenate([bucket, [before[int(i)] for i in ids[heads]]])
+            bucket = np.concatenate([bucket, head_to[at[heads]]])
             extra = np.concatenate([extra, np.ones(len(heads), np.int32)])
         texts = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(extra, pa.int32()), pa.array(ids[rows], pa.int64()),
@@ -165,27 +177,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     likeness of the text's fingerprint to the edited text's and to the next document's; edited_prefix is the longest
     common prefix of text and edited text. A single document is its own next one; an empty table gives an empty result.
 
-    Documents are range-partitioned by doc_id, once; only the least doc_id of each range is known to the driver.
+    Documents are range-partitioned by doc_id, once, by ids sampled in proportion to the ranges; the driver
+    knows no more of a range than those and its least doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size, n = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    spark = docs.sparkSession
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     if not n:
-        return docs.sparkSession.createDataFrame([], REPORT)
-    buckets = max(partitions(docs.sparkSession), int(size) // BUCKET_BYTES + 1)
-    ranks = [i / buckets for i in range(1, buckets)]
-    at = docs.agg(F.percentile_approx("doc_id", ranks, 10000)).first()[0] if ranks else []
-    splitters = np.unique(np.array(at or [], np.int64))
+        return spark.createDataFrame([], REPORT)
+    buckets = max(partitions(spark), int(size) // BUCKET_BYTES + 1)
+    share = min(1.0, max(SAMPLE_DOCS, BUCKET_KEYS * buckets) / n)
+    some = docs.sample(share, seed=41).select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow()
+    splitters = splitters_of(some.column(0).to_numpy(), some.column(1).to_numpy(), buckets)
+    held = spark.sparkContext.broadcast(splitters)
 
     def least(batches):
         found: dict[int, int] = {}
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
-            to = np.searchsorted(splitters, ids, "right")
-            for b in np.unique(to):
-                found[int(b)] = min(found.get(int(b), 2**63 - 1), int(ids[to == b].min()))
+            ids = np.sort(batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False))
+            to = np.searchsorted(held.value, ids, "right")
+            for b, i in zip(*np.unique(to, return_index=True)):
+                found[int(b)] = min(found.get(int(b), 2**63 - 1), int(ids[i]))
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.int64())], names=["bucket", "head"])
 
-    heads = sorted(tuple(r) for r in docs.select("doc_id").mapInArrow(least, "bucket int, head long").groupBy("bucket").agg(F.min("head").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    rows = docs.mapInArrow(partial(_bucketed, splitters=splitters, before=before), "bucket int, extra int, doc_id long, no_id boolean, text binary")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text").mapInArrow(_fingerprints, REPORT)
+    heads = docs.select("doc_id").mapInArrow(least, "bucket int, head long").groupBy("bucket").agg(F.min("head").alias("head")).toArrow().sort_by("bucket")
+    # Ranges in order have heads in order; each head also goes to the range before its own.
+    shared = spark.sparkContext.broadcast((splitters, heads.column("head").to_numpy(), np.roll(heads.column("bucket").to_numpy(), 1)))
+    rows = docs.mapInArrow(partial(_bucketed, shared=shared), "bucket int, extra int, doc_id long, no_id boolean, text binary")
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "extra", "doc_id", "text").mapInArrow(_fingerprints, REPORT)

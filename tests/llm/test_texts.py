@@ -148,7 +148,21 @@ def test_prefix_hashes_answer_spans():
     assert a.extension(0, b, 1) == 6 and a.extension(8, b, 0) == 0 and a.extension(0, a, 3) == 5
 
 
-def test_fingerprints_match_their_definition(spark):
+def test_ranges_of_ids_are_even_in_bytes():
+    r = np.random.default_rng(1)
+    ids = np.cumsum(r.integers(1, 10**6, 40_000)) - 2**40
+    sizes = np.where(r.random(40_000) < 0.01, 5_000, 500)
+    some = r.choice(40_000, 200 * fingerprint.BUCKET_KEYS, replace=False)
+    s = fingerprint.splitters_of(ids[some], sizes[some], 200)
+    assert len(s) > 180 and (np.diff(s) > 0).all()
+    held = np.bincount(np.searchsorted(s, ids, "right"), sizes)
+    assert held.max() < 6 * held.mean()
+    assert not len(fingerprint.splitters_of(np.zeros(0, np.int64), np.zeros(0), 9)) and fingerprint.splitters_of(np.full(9, 3), np.ones(9), 4).tolist() == [3]
+
+
+@pytest.mark.parametrize("bucket", [64 << 20, 1000])
+def test_fingerprints_match_their_definition(spark, monkeypatch, bucket):
+    monkeypatch.setattr(fingerprint, "BUCKET_BYTES", bucket)
     r = random.Random(5)
     rows = [(i * 7, "".join(r.choice("abc é🙂") for _ in range(r.choice([0, 1, 5, 100, 3000])))) for i in range(60)] + [(1, None), (1000, "x" * 200)]
     df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(5)
