@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
-import tempfile
 import time
+import uuid
 import warnings
 from contextlib import contextmanager
 from functools import partial
@@ -26,7 +25,7 @@ from gridloom.functions import geo
 from gridloom.functions.grid import overview_levels
 from gridloom.operators import warp
 from gridloom.plans import blocks as plan, catalog as cat
-from gridloom.session import local_session, ship
+from gridloom.session import local_session, remove, shared_dir, ship
 from gridloom.sources import geotiff, raster
 
 DEFAULTS = {"numthreads": 4, "blocksize": 1024, "driver": "GTiff", "resamplemethod": "near", "minoverviewsize": 1024}
@@ -83,11 +82,8 @@ def _sample(path, header, f, band, rows, cols, method, nodata):
 
     if method == "near":
         return at(np.floor(rows), np.floor(cols))
-    if method == "bilinear":
-        reach, weight = (0, 1), lambda d: np.maximum(0, 1 - np.abs(d))
-    else:
-        reach = (-1, 0, 1, 2)
-        weight = lambda d: np.where(np.abs(d) <= 1, 1.5 * np.abs(d)**3 - 2.5 * d * d + 1, np.where(np.abs(d) < 2, -0.5 * np.abs(d)**3 + 2.5 * d * d - 4 * np.abs(d) + 2, 0))
+    reach = warp.REACH[method]
+    weight = lambda d: warp.kernel(method, np.abs(d), np.sin, np.where)
     y, x = rows - 0.5, cols - 0.5
     total, weights = np.zeros(y.shape), np.zeros(y.shape)
     for i in reach:
@@ -100,6 +96,56 @@ def _sample(path, header, f, band, rows, cols, method, nodata):
     return np.where(np.abs(weights) > 1e-9, total / np.where(weights == 0, 1, weights), np.nan)
 
 
+def _grouped(method, at, v, size):
+    """Aggregate of the values of each position ``at`` below size; NaN where there is none. As ``warp.AREAS`` has them."""
+    order = np.lexsort([v, at])
+    at, v = at[order], v[order]
+    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, int)
+    n, out = np.diff(np.append(start, len(at))), np.full(size, np.nan)
+    if not len(at):
+        return out
+    if method in ("min", "max"):
+        got = v[start] if method == "min" else v[start + n - 1]
+    elif method in ("sum", "average", "rms"):
+        got = np.add.reduceat(v * v if method == "rms" else v, start)
+        got = got if method == "sum" else got / n if method == "average" else np.sqrt(got / n)
+    elif method == "mode":
+        # Runs of equal values: of the longest of a position the first, which is the least value.
+        run = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (v[1:] != v[:-1])]))
+        long = np.diff(np.append(run, len(at)))
+        best = run[np.lexsort([run, -long, at[run]])]
+        got = v[best[np.concatenate([[True], at[best][1:] != at[best][:-1]])]]
+    else:
+        rank = (n - 1) * {"q1": 0.25, "med": 0.5, "q3": 0.75}[method]
+        low = np.floor(rank).astype(int)
+        high = np.minimum(low + 1, n - 1)
+        got = v[start + low] + (v[start + high] - v[start + low]) * (rank - low)
+    out[at[start]] = got
+    return out
+
+
+def _area(path, h, f, band, rows, cols, method, nodata, grid, top, left):
+    """Source pixels gathered in the target pixel that holds their centre, then aggregated; pixels finer than the source's take the one they lie in."""
+    near = _sample(path, h, f, band, rows, cols, "near", nodata)
+    wide = lambda a: 2 + max([0.0, *(float(np.abs(np.diff(a, axis=k)).max()) for k in (0, 1) if a.shape[k] > 1)])
+    r0, r1 = max(0, int(rows.min() - wide(rows))), min(h.nrows, int(rows.max() + wide(rows)) + 1)
+    c0, c1 = max(0, int(cols.min() - wide(cols))), min(h.ncols, int(cols.max() + wide(cols)) + 1)
+    if r0 >= r1 or c0 >= c1:
+        return near
+    v = geotiff.read_window(f, h, band, r0, c0, r1 - r0, c1 - c0).astype(np.float64).ravel()
+    c, r = (a.ravel() + 0.5 for a in np.meshgrid(np.arange(c0, c1), np.arange(r0, r1)))
+    x0, xr, xs, y0, ys, yr = h.gt
+    x, y = geo.transform(grid["source"], grid["target"], x0 + c * xr + r * xs, y0 + c * ys + r * yr, geo.NUMPY)
+    tc, tr = np.floor((x - grid["gt"][0]) / grid["gt"][1]) - left, np.floor((y - grid["gt"][3]) / grid["gt"][5]) - top
+    inside = (tr >= 0) & (tc >= 0) & (tr < rows.shape[0]) & (tc < rows.shape[1])
+    at = (tr[inside] * rows.shape[1] + tc[inside]).astype(int)
+    v = v[inside]
+    valid = ~np.isnan(v) if nodata is None or np.isnan(nodata) else (v != nodata) & ~np.isnan(v)
+    got = _grouped(method, at[valid], v[valid], rows.size)
+    met = np.bincount(at, minlength=rows.size) > 0
+    return np.where(met, got, near.ravel()).reshape(rows.shape)
+
+
 TILE = "level int, band int, top int, left int, ysize int, xsize int, pixels binary"
 
 
@@ -122,7 +168,11 @@ def _tile(key, table, grid, levels):
                 x, y = geo.transform(grid["target"], grid["source"], *np.meshgrid(gx, gy), geo.NUMPY)
                 x0, xr, xs, y0, ys, yr = h.gt
                 det = xr * yr - xs * ys
-                a = _sample(s["scene_id"], h, f, band, ((y - y0) * xr - (x - x0) * ys) / det, ((x - x0) * yr - (y - y0) * xs) / det, grid["resample"], null)
+                rows, cols = ((y - y0) * xr - (x - x0) * ys) / det, ((x - x0) * yr - (y - y0) * xs) / det
+                if grid["resample"] in warp.AREAS:
+                    a = _area(s["scene_id"], h, f, band, rows, cols, grid["resample"], null, grid, top, left)
+                else:
+                    a = _sample(s["scene_id"], h, f, band, rows, cols, grid["resample"], null)
                 merged = np.where(np.isnan(a), merged, a)
                 continue
             it, il = s["in_top"], s["in_left"]
@@ -211,8 +261,8 @@ def do_mosaic(filelist: list[str], outfile: str | None, *, numthreads: int = 4,
         raise ValueError("no output file")
     if driver not in CREATION:
         raise ValueError(f"driver {driver} is not supported; use one of {', '.join(CREATION)}")
-    if resamplemethod not in warp.NEIGHBOURS:
-        raise ValueError(f"resampling {resamplemethod} is not supported; use one of {', '.join(warp.NEIGHBOURS)}")
+    if resamplemethod not in (known := (*warp.NEIGHBOURS, *warp.AREAS)):
+        raise ValueError(f"resampling {resamplemethod} is not supported; use one of {', '.join(known)}")
     spark = ship(spark or local_session(str(numthreads)))
     m = Monitoring()
     for k, v in (("numthreads", numthreads), ("blocksize", blocksize), ("cpucount", os.cpu_count()), ("numinfiles", len(filelist))):
@@ -246,7 +296,7 @@ def do_mosaic(filelist: list[str], outfile: str | None, *, numthreads: int = 4,
         # Blocks without inputs stay, as nodata.
         reads = blocks.join(found, ["top", "left"], "left").withColumn("band", F.explode(F.sequence(F.lit(1), F.lit(g.num_bands))))
     with m.span("domosaic"):
-        folder = outfile if driver == "PARQUET" else tempfile.mkdtemp(prefix="gridloom-tiles-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.checkpoint.dir')}/tiles-{time.time_ns()}"
+        folder = outfile if driver == "PARQUET" else f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
         make = partial(_tile, grid=grid, levels=levels)
         made = reads.groupBy("band", "top", "left", "ysize", "xsize").applyInArrow(lambda key, t: make(key, t), TILE)
         made.write.mode("overwrite").parquet(f"{folder}/made")
@@ -271,8 +321,7 @@ def do_mosaic(filelist: list[str], outfile: str | None, *, numthreads: int = 4,
                 out.write(r.level, r.band, r.top // tile, r.left // tile, np.frombuffer(r.pixels, g.dtype).reshape(r.ysize, r.xsize))
             out.stats = {b: {"MINIMUM": str(r.minval), "MAXIMUM": str(r.maxval), "MEAN": str(r.meanval), "STDDEV": str(r.stddev)} for b, r in stats.items()}
             out.close()
-            if spark.sparkContext.master.startswith("local"):
-                shutil.rmtree(folder, ignore_errors=True)
+            remove(spark, folder)
     return m
 
 

@@ -1,13 +1,16 @@
 """Affine grids and map projections as column expressions.
 
-x is always the longitude or easting. Supported systems: EPSG:4326, EPSG:3857 and UTM on WGS 84
-(EPSG:326zz, EPSG:327zz), the latter by third-order Krueger series (below a millimetre inside a zone).
+x is always the longitude or easting. Supported systems: degrees, web mercator, UTM zones (third-order Krueger
+series, below a millimetre inside a zone), and the conic, azimuthal and polar systems of ``CONFORMAL_CONIC``,
+``EQUAL_AREA_CONIC``, ``EQUAL_AREA_AZIMUTHAL`` and ``POLAR``. Datums of the same kind (WGS 84, ETRS89, NAD83, GDA94, GDA2020) are
+taken as one, as their ellipsoids differ by a tenth of a millimetre; shifts between them (up to two metres) are not applied.
 Every formula takes a namespace ``m``, Spark's functions by default, so numpy evaluates the same ones
 inside Arrow tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from types import SimpleNamespace
 
@@ -28,6 +31,17 @@ DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 *
 PI = 3.141592653589793
 RAD = PI / 180
 
+# Parameters of the EPSG registry. Degrees: latitude and longitude of origin, standard parallels; false easting, false northing.
+CONFORMAL_CONIC = {3112: (0, 134, -18, -36, 0, 0), 2154: (46.5, 3, 49, 44, 700000, 6600000)}
+EQUAL_AREA_CONIC = {3577: (0, 132, -18, -36, 0, 0), 5070: (23, -96, 29.5, 45.5, 0, 0), 3005: (45, -126, 50, 58.5, 1000000, 0)}
+# Latitude and longitude of origin, false easting and northing.
+EQUAL_AREA_AZIMUTHAL = {3035: (52, 10, 4321000, 3210000)}
+# Latitude of true scale, longitude that points down (north) or up (south).
+POLAR = {3031: (-71, 0), 3976: (-70, 0), 3413: (70, -45), 3995: (71, 0)}
+DEGREES = (4326, 4258, 4269, 4283, 7844)
+# UTM zones: first code, last code, what to subtract for the zone, south.
+ZONES = ((32601, 32660, 32600, False), (32701, 32760, 32700, True), (25828, 25838, 25800, False), (26901, 26923, 26900, False), (28348, 28358, 28300, True), (7846, 7859, 7800, True))
+
 
 class ProjectionError(ValueError):
     """Scenes or systems that do not go together."""
@@ -94,6 +108,136 @@ def web_inverse(x, y, m=SPARK):
     return x / (RADIUS * RAD), m.atan(m.sinh(y / RADIUS)) / RAD
 
 
+# ---- conic, azimuthal and polar systems ------------------------------------
+
+def _isometric(phi, m):
+    return m.asinh(m.tan(phi)) - m.atanh(m.sin(phi) * _E) * _E
+
+
+def _parallel(phi: float) -> float:
+    """Radius of a parallel over that of the equator."""
+    return math.cos(phi) / math.sqrt(1 - (_E * math.sin(phi))**2)
+
+
+def _authalic(s, m):
+    """(1 - e^2) times the area integral at sine of latitude s."""
+    return (s / (1.0 - s * s * _E**2) + m.atanh(s * _E) / _E) * (1 - _E**2)
+
+
+def _of_conformal(chi, m):
+    """Latitude of a conformal latitude."""
+    phi = chi
+    for j, d in enumerate(DELTA, 1):
+        phi = phi + m.sin(chi * (2 * j)) * d
+    return phi
+
+
+def _of_authalic(beta, m):
+    """Latitude of an authalic latitude."""
+    e2 = _E**2
+    terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+    phi = beta
+    for j, d in enumerate(terms, 1):
+        phi = phi + m.sin(beta * (2 * j)) * d
+    return phi
+
+
+_MATH = SimpleNamespace(sin=math.sin, tan=math.tan, asinh=math.asinh, atanh=math.atanh)
+_POLE = _authalic(1.0, _MATH)
+
+
+class _Conic:
+    """Conic systems: a radius that depends on latitude alone, and angles in proportion to longitude."""
+
+    def __init__(self, lat, lon, first, second, x, y):
+        self.lat, self.lon, self.x, self.y = lat * RAD, lon, x, y
+        self.first, self.second = first * RAD, second * RAD
+        self.set()
+        self.origin = self.radius(self.lat, _MATH)
+
+    def forward(self, lon, lat, m):
+        r, a = self.radius(lat * RAD, m), (lon - self.lon) * (RAD * self.n)
+        return m.sin(a) * r + self.x, self.origin - m.cos(a) * r + self.y
+
+    def inverse(self, x, y, m):
+        sign = math.copysign(1.0, self.n)
+        dx, dy = (x - self.x) * sign, (self.origin - (y - self.y)) * sign
+        return m.atan2(dx, dy) / (self.n * RAD) + self.lon, self.latitude(m.sqrt(dx * dx + dy * dy) * sign, m) / RAD
+
+
+class _ConformalConic(_Conic):
+    def set(self):
+        a, b = _isometric(self.first, _MATH), _isometric(self.second, _MATH)
+        self.n = (math.log(_parallel(self.first)) - math.log(_parallel(self.second))) / (b - a)
+        self.scale = RADIUS * _parallel(self.first) / self.n * math.exp(self.n * a)
+
+    def radius(self, phi, m):
+        q = _isometric(phi, m) * -self.n
+        return (math.exp(q) if m is _MATH else m.exp(q)) * self.scale
+
+    def latitude(self, r, m):
+        psi = m.log(r / self.scale) / -self.n
+        return _of_conformal(m.atan(m.sinh(psi)), m)
+
+
+class _EqualAreaConic(_Conic):
+    def set(self):
+        q1, q2 = (_authalic(math.sin(p), _MATH) for p in (self.first, self.second))
+        m1, m2 = _parallel(self.first)**2, _parallel(self.second)**2
+        self.n = (m1 - m2) / (q2 - q1)
+        self.c = m1 + self.n * q1
+
+    def radius(self, phi, m):
+        x = self.c - _authalic(m.sin(phi), m) * self.n
+        return (math.sqrt(x) if m is _MATH else m.sqrt(x)) * (RADIUS / self.n)
+
+    def latitude(self, r, m):
+        q = (self.c - r * r * (self.n / RADIUS)**2) / self.n
+        return _of_authalic(m.asin(q / _POLE), m)
+
+
+class _EqualAreaAzimuthal:
+    def __init__(self, lat, lon, x, y):
+        self.lon, self.x, self.y = lon, x, y
+        self.r = RADIUS * math.sqrt(_POLE / 2)
+        beta = math.asin(_authalic(math.sin(lat * RAD), _MATH) / _POLE)
+        self.sin, self.cos = math.sin(beta), math.cos(beta)
+        self.d = RADIUS * _parallel(lat * RAD) / (self.r * self.cos)
+
+    def forward(self, lon, lat, m):
+        s = _authalic(m.sin(lat * RAD), m) / _POLE
+        c, a = m.sqrt(1.0 - s * s), (lon - self.lon) * RAD
+        b = m.sqrt(2.0 / (s * self.sin + c * m.cos(a) * self.cos + 1.0)) * self.r
+        return b * c * m.sin(a) * self.d + self.x, b * (s * self.cos - c * m.cos(a) * self.sin) / self.d + self.y
+
+    def inverse(self, x, y, m):
+        dx, dy = (x - self.x) / self.d, (y - self.y) * self.d
+        # Nothing is divided by zero at the origin.
+        rho = m.sqrt(dx * dx + dy * dy + 1e-12)
+        c = m.asin(rho / (2 * self.r)) * 2.0
+        beta = m.asin(m.cos(c) * self.sin + dy * m.sin(c) / rho * self.cos)
+        return m.atan2(dx * m.sin(c), rho * m.cos(c) * self.cos - dy * m.sin(c) * self.sin) / RAD + self.lon, _of_authalic(beta, m) / RAD
+
+
+class _Polar:
+    def __init__(self, lat, lon):
+        self.sign, self.lon = math.copysign(1.0, lat), lon
+        phi = abs(lat) * RAD
+        self.scale = RADIUS * _parallel(phi) * math.exp(_isometric(phi, _MATH))
+
+    def forward(self, lon, lat, m):
+        r, a = m.exp(-_isometric(lat * (RAD * self.sign), m)) * self.scale, (lon - self.lon) * RAD
+        return r * m.sin(a), r * m.cos(a) * -self.sign
+
+    def inverse(self, x, y, m):
+        psi = -m.log(m.sqrt(x * x + y * y) / self.scale)
+        return m.atan2(x, y * -self.sign) / RAD + self.lon, _of_conformal(m.atan(m.sinh(psi)), m) * self.sign / RAD
+
+
+_FAMILIES = ((CONFORMAL_CONIC, _ConformalConic), (EQUAL_AREA_CONIC, _EqualAreaConic), (EQUAL_AREA_AZIMUTHAL, _EqualAreaAzimuthal), (POLAR, _Polar))
+SYSTEMS = {code: kind(*values) for table, kind in _FAMILIES for code, values in table.items()}
+
+
 def epsg_of(srs: str | int) -> int:
     """Authority code of "EPSG:n", a number, or WKT that ends in one."""
     text = str(srs).strip()
@@ -116,31 +260,34 @@ def same_system(a: str, b: str) -> bool:
 
 
 def linear_unit(code: int) -> str:
-    return "degree" if code == 4326 else "metre"
+    return "degree" if code in DEGREES else "metre"
 
 
 def _utm(code: int) -> tuple[int, bool] | None:
-    zone = code % 100
-    return (zone, code // 100 == 327) if code // 100 in (326, 327) and 1 <= zone <= 60 else None
+    return next(((code - less, south) for first, last, less, south in ZONES if first <= code <= last), None)
 
 
 def to_degrees(code: int, x, y, m=SPARK):
-    if code == 4326:
+    if code in DEGREES:
         return x, y
     if code == 3857:
         return web_inverse(x, y, m)
     if u := _utm(code):
         return utm_inverse(x, y, *u, m)
+    if code in SYSTEMS:
+        return SYSTEMS[code].inverse(x, y, m)
     raise ProjectionError(f"EPSG:{code} is not supported")
 
 
 def from_degrees(code: int, lon, lat, m=SPARK):
-    if code == 4326:
+    if code in DEGREES:
         return lon, lat
     if code == 3857:
         return web_forward(lon, lat, m)
     if u := _utm(code):
         return utm_forward(lon, lat, *u, m)
+    if code in SYSTEMS:
+        return SYSTEMS[code].forward(lon, lat, m)
     raise ProjectionError(f"EPSG:{code} is not supported")
 
 

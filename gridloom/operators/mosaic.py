@@ -54,35 +54,59 @@ def bounding_box(df: DataFrame, top: int, left: int, bottom: int, right: int) ->
     return df.where((F.col("row") >= top) & (F.col("row") < bottom) & (F.col("col") >= left) & (F.col("col") < right))
 
 
+def _dense(batches, nodata: float, names: list[str]):
+    """Dense tiles of cells (_tile, k, value and ``names``) sorted by tile: every tile of a batch is filled at once."""
+    kinds = None
+
+    def filled(t: pa.Table):
+        tile, k, v = (t.column(c).to_numpy() for c in ("_tile", "k", "value"))
+        start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+        first = t.select(names).take(pa.array(start))
+        size = first.column("xsize").to_numpy().astype(np.int64) * first.column("ysize").to_numpy()
+        ends = np.cumsum(size)
+        flat = np.full(ends[-1], nodata)
+        flat[np.repeat(ends - size, np.diff(np.append(start, len(tile)))) + k] = v
+        pixels = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in names), pixels], names=[*names, "pixels"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kinds = kinds or batch.schema
+        t = pa.Table.from_batches([batch], kinds)
+        held = t if held is None else pa.concat_tables([held, t])
+        tile = held.column("_tile").to_numpy()
+        last = len(tile) - int(np.argmax(tile[::-1] != tile[-1])) if (tile != tile[-1]).any() else 0
+        if last:  # the last tile may go on
+            yield filled(held.slice(0, last))
+            held = held.slice(last)
+    if held is not None:
+        yield filled(held)
+
+
 def to_tiles(pixels: DataFrame, tile: int, nrows: int, ncols: int, nodata: float, keys=("ord",)) -> DataFrame:
     """Dense tiles of side ``tile`` (less at the edges) of each scene, for those it reaches."""
     p = pixels.withColumn("top", (F.floor(F.col("row") / tile) * tile).cast("int")).withColumn("left", (F.floor(F.col("col") / tile) * tile).cast("int"))
     p = p.withColumn("xsize", F.least(F.lit(tile), F.lit(ncols) - F.col("left"))).withColumn("ysize", F.least(F.lit(tile), F.lit(nrows) - F.col("top")))
     at = (F.col("row") - F.col("top")) * F.col("xsize") + F.col("col") - F.col("left")
-    cells = F.map_from_entries(F.collect_list(F.struct(at.cast("int").alias("k"), F.col("value").alias("v"))))
-    g = p.where("value IS NOT NULL").groupBy(*keys, "top", "left", "xsize", "ysize").agg(cells.alias("m"))
-    # A tile is bounded by its side; missing cells are nodata.
-    return g.withColumn("pixels", F.transform(F.sequence(F.lit(0), F.col("xsize") * F.col("ysize") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(nodata)))).drop("m")
-
-
-def _overlay(table: pa.Table, nodata: float) -> pa.Table:
-    table = table.sort_by("ord")
-    rows = table.column("pixels").to_pylist()
-    out = np.array(rows[0], np.float64)
-    for r in rows[1:]:
-        r = np.array(r, np.float64)
-        if len(r) != len(out):
-            raise ValueError("tiles of one place differ in size")
-        valid = ~np.isnan(r) if nodata != nodata else r != nodata
-        out[valid] = r[valid]
-    first = table.slice(0, 1)
-    return pa.table({c: first.column(c) for c in ("top", "left", "xsize", "ysize")} | {"pixels": pa.array([out], pa.list_(pa.float64()))})
+    names = [*keys, "top", "left", "xsize", "ysize"]
+    p = p.where("value IS NOT NULL").select(*names, at.cast("int").alias("k"), F.col("value").cast("double").alias("value")).withColumn("_tile", F.xxhash64(*keys, "top", "left"))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+    # Sorted by tile and then streamed: a task holds a batch, not a scene.
+    p = p.repartition("_tile").sortWithinPartitions("_tile")
+    return p.mapInArrow(partial(_dense, nodata=float(nodata), names=names), ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", pixels array<double>")
 
 
 def merge_tiles(tiles: DataFrame, nodata: float) -> DataFrame:
-    """top, left, xsize, ysize, pixels: tiles of one place overlaid in order, numpy masks in Arrow groups."""
-    overlay = partial(_overlay, nodata=nodata)
-    return tiles.groupBy("top", "left", "xsize", "ysize").applyInArrow(lambda t: overlay(t), "top int, left int, xsize int, ysize int, pixels array<double>")
+    """top, left, xsize, ysize, pixels: tiles of one place overlaid in order, cell by cell, by built-in functions."""
+    valid = (lambda b: ~F.isnan(b)) if nodata != nodata else (lambda b: b != nodata)
+    over = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(valid(y), y).otherwise(x))
+    same = lambda a, b: F.when(F.size(a) == F.size(b), over(a, b)).otherwise(F.raise_error("tiles of one place differ in size").cast("array<double>"))
+    # A place has as many tiles as scenes reach it.
+    g = tiles.groupBy("top", "left", "xsize", "ysize").agg(F.array_sort(F.collect_list(F.struct("ord", "pixels"))).alias("t"))
+    rest = F.slice("t", F.lit(2), F.size("t"))
+    return g.select("top", "left", "xsize", "ysize", F.aggregate(rest, F.col("t")[0]["pixels"], lambda a, x: same(a, x["pixels"])).alias("pixels"))
 
 
 def to_pixels(tiles: DataFrame, nodata: float) -> DataFrame:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import warnings
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo
 
-NEIGHBOURS = ("near", "bilinear", "cubic")
+NEIGHBOURS = ("near", "bilinear", "cubic", "cubicspline", "lanczos")
+#: Offsets of the source pixels, along one axis, that a kernel weighs.
+REACH = {"bilinear": (0, 1), "cubic": (-1, 0, 1, 2), "cubicspline": (-1, 0, 1, 2), "lanczos": (-2, -1, 0, 1, 2, 3)}
 #: Aggregates of the source pixels whose centres fall into a target pixel.
 AREAS = {
     "average": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "med": F.median, "mode": lambda v: F.mode(v, True),
@@ -43,8 +48,26 @@ def target_resolution(gt, source: int, target: int, xres: float | None, yres: fl
     return abs(gt["xres"]), abs(gt["yres"])
 
 
+BOX = ("b_x_min", "b_x_max", "b_y_min", "b_y_max")
+
+
+def _boxes(batches, source, target):
+    for batch in batches:
+        gt = {n: batch.column("gt").field(n).to_numpy(zero_copy_only=False) for n in ("x0", "xres", "xskew", "y0", "yskew", "yres")}
+        w, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ncols", "nrows"))
+        x, y = (np.array(a) for a in zip(*(geo.transform(source, target, *geo.apply_affine(gt, c, r), geo.NUMPY) for c in (0 * w, w) for r in (0 * h, h))))
+        boxes = [pa.array(a) for a in (x.min(axis=0), x.max(axis=0), y.min(axis=0), y.max(axis=0))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *boxes], names=[*batch.schema.names, *BOX])
+
+
 def corner_box(catalog: DataFrame, source: int, target: int) -> DataFrame:
-    """Catalog with the box (b_x_min, b_x_max, b_y_min, b_y_max) of the four corners in the target system."""
+    """Catalog with the box (b_x_min, b_x_max, b_y_min, b_y_max) of the four corners in the target system.
+
+    Conic, azimuthal and polar systems are evaluated by numpy: as column expressions, which repeat whatever is used twice, they outgrow the optimizer.
+    """
+    if source in geo.SYSTEMS or target in geo.SYSTEMS:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in catalog.schema) + "".join(f", {c} double" for c in BOX)
+        return catalog.mapInArrow(partial(_boxes, source=source, target=target), schema)
     xs, ys = [], []
     for c in (F.lit(0), F.col("ncols")):
         for r in (F.lit(0), F.col("nrows")):
@@ -85,16 +108,26 @@ def warp_nearest(pixels: DataFrame, targets: DataFrame, source: int, target: int
     return t.join(pixels.select(F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), "value"), ["_r", "_c"], "left").select("row", "col", "value")
 
 
-def _cubic(d: Column) -> Column:
-    """Catmull-Rom weight at distance d."""
-    a = F.abs(d)
-    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+def kernel(method: str, a, sin, where):
+    """Weight at distance a >= 0: linear, Catmull-Rom, cubic B-spline, or Lanczos of three lobes. sin and where are those of Spark or numpy."""
+    if method == "bilinear":
+        return where(a < 1, 1 - a, 0.0)
+    if method == "cubic":
+        return where(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1, where(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2, 0.0))
+    if method == "cubicspline":
+        return where(a <= 1, 0.5 * a * a * a - a * a + 2 / 3, where(a < 2, (2 - a) * (2 - a) * (2 - a) / 6, 0.0))
+    x = where(a < 1e-9, 1.0, a) * geo.PI
+    return where(a < 1e-9, 1.0, where(a < 3, 3 * sin(x) * sin(x / 3) / (x * x), 0.0))
+
+
+def _either(test: Column, yes, no) -> Column:
+    return F.when(test, yes).otherwise(no)
 
 
 def warp_weighted(pixels: DataFrame, targets: DataFrame, source: int, target: int, method: str) -> DataFrame:
-    """Bilinear or cubic: each target pixel meets its 4 or 16 neighbours; nulls drop out and the rest is reweighted."""
-    reach = {"bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}[method]
-    weight = (lambda d: F.greatest(F.lit(0.0), 1 - F.abs(d))) if method == "bilinear" else _cubic
+    """A kernel of ``REACH``: each target pixel meets its 4, 16 or 36 neighbours; nulls drop out and the rest is reweighted."""
+    reach = REACH[method]
+    weight = lambda d: kernel(method, F.abs(d), F.sin, _either)
     c, r = source_position(F.col("gt"), F.col("row"), F.col("col"), F.col("source_gt"), source, target)
     t = targets.withColumn("_y", r - 0.5).withColumn("_x", c - 0.5)
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in reach for j in reach])

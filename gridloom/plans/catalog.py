@@ -58,9 +58,10 @@ def check(catalog: DataFrame) -> None:
     first = catalog.orderBy("ord").limit(1).select("scene_id", "srs", "num_bands").first()
     if first is None:
         raise ValueError("no scenes")
-    names = {r.srs for r in catalog.select("srs").distinct().limit(1000).collect()}
-    other = [s for s in names if s != first.srs and not same_system(s or "", first.srs or "")]
-    one = catalog.withColumn("srs", F.when(F.col("srs").isin(other), F.col("srs")).otherwise(F.lit(first.srs))) if other else catalog.withColumn("srs", F.lit(first.srs))
+    # Each name with the first scene that has it, in that order; the first that stands for another system tells which scene departs in it.
+    names = catalog.groupBy("srs").agg(F.min("ord").alias("ord")).orderBy("ord").toLocalIterator()
+    odd = next((r for r in names if r.srs != first.srs and not same_system(r.srs or "", first.srs or "")), None)
+    one = catalog.withColumn("srs", F.when(F.col("ord") == odd.ord, F.col("srs")).otherwise(F.lit(first.srs))) if odd else catalog.withColumn("srs", F.lit(first.srs))
     bad = violations(one).orderBy("ord").first()
     if bad:
         said = {"system": "another coordinate system", "x_size": "another pixel width", "y_size": "another pixel height", "x_alignment": "columns off the grid", "y_alignment": "rows off the grid"}

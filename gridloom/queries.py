@@ -136,17 +136,11 @@ def _overview(level: int):
 _overview(4)
 _overview(8)
 
-SIZES = "(VALUES (9998, 5000, 1024), (100, 150, 16), (64, 64, 64), (0, 0, 8), (1, 100000, 1)) v(w, h, m)"
-
-
-@query(f"SELECT w, h, m, (1 << i)::INTEGER AS level FROM {SIZES}, range(2, 31) r(i) WHERE greatest(w, h) // (1 << i) >= m")
+@query("""SELECT p_partkey, (1 << i)::INTEGER AS level FROM part, range(2, 31) r(i) WHERE greatest(p_partkey * 37 % 4000, p_size * 101) // (1 << i) >= 64""")
 def overview_levels(spark, sf):
-    sizes = spark.createDataFrame([(9998, 5000, 1024), (100, 150, 16), (64, 64, 64), (0, 0, 8), (1, 100000, 1)], "w int, h int, m int")
-    out = None
-    for m in (1024, 16, 64, 8, 1):
-        x = sizes.where(F.col("m") == m).withColumn("level", F.explode(cells.overview_levels(F.col("w"), F.col("h"), m)))
-        out = x if out is None else out.union(x)
-    return out
+    """Levels of rasters as wide and high as parts say."""
+    p = _table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 37 % 4000).cast("int").alias("w"), (F.col("p_size") * 101).alias("h"))
+    return p.select("p_partkey", F.explode(cells.overview_levels(F.col("w"), F.col("h"), 64)).alias("level"))
 
 
 @query(f"""WITH {PX}, {LAST} SELECT "row" // 4 AS "row", col // 4 AS col, round(avg(value), 6) AS average, min(value) AS low, max(value) AS high, sum(value) AS total,
@@ -204,9 +198,12 @@ def block_list(spark, sf):
     return _blocks(spark, sf)[1]
 
 
-@query("""SELECT (y * 64)::INTEGER AS top, (x * 64)::INTEGER AS "left", least(64, 450 - x * 64)::INTEGER AS xsize, least(64, 350 - y * 64)::INTEGER AS ysize FROM range(6) a(y), range(8) c(x)""")
+@query("""SELECT p_partkey, (y * 64)::INTEGER AS top, (x * 64)::INTEGER AS "left", least(64, p_size * 9 - x * 64)::INTEGER AS xsize, least(64, p_size * 5 - y * 64)::INTEGER AS ysize
+FROM part, range(8) a(y), range(8) c(x) WHERE x * 64 < p_size * 9 AND y * 64 < p_size * 5""")
 def block_list_simple(spark, sf):
-    return plan.block_list(spark.createDataFrame([(450, 350)], "ncols int, nrows int"), 64, plain=True).select("top", "left", "xsize", "ysize")
+    """Blocks of a grid for each part."""
+    p = _table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 9).alias("ncols"), (F.col("p_size") * 5).alias("nrows"))
+    return plan.block_list(p, 64, plain=True).select("p_partkey", "top", "left", "xsize", "ysize")
 
 
 @query(f"{BASE} SELECT * FROM o")
@@ -322,6 +319,24 @@ def web_mercator_forward(spark, sf):
     return _ll(spark, sf).select("p_partkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+ALBERS = geo.SYSTEMS[3577]
+
+
+@query(f"""WITH {LL}, q AS (SELECT *, sin(radians(lat)) AS s FROM ll), r AS (SELECT *, {geo.RADIUS / ALBERS.n!r} * sqrt({ALBERS.c!r} - {ALBERS.n!r} * {1 - geo._E**2!r} * (s / (1 - {geo._E**2!r} * s * s) + atanh({geo._E!r} * s) / {geo._E!r})) AS r FROM q)
+SELECT p_partkey, round(r * sin({ALBERS.n!r} * radians(lon - 132)), 3) AS x, round({ALBERS.origin!r} - r * cos({ALBERS.n!r} * radians(lon - 132)), 3) AS y FROM r""")
+def albers_forward(spark, sf):
+    x, y = geo.from_degrees(3577, F.col("lon"), F.col("lat"))
+    return _ll(spark, sf).select("p_partkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"WITH {LL} SELECT p_partkey, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ll")
+def conic_inverse(spark, sf):
+    x, y = geo.from_degrees(3112, F.col("lon"), F.col("lat"))
+    ll = _ll(spark, sf).select("p_partkey", x.alias("x"), y.alias("y"))
+    lon, lat = geo.to_degrees(3112, F.col("x"), F.col("y"))
+    return ll.select("p_partkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 @query(f"""WITH c4 AS (SELECT p_partkey AS scene, 151 + (p_partkey % 40) / 10 + i * 0.02 AS lon, -30 - (p_partkey % 30) / 10 - j * 0.01 AS lat FROM part, range(2) a(i), range(2) b(j)),
 ll AS (SELECT scene, lon, lat FROM c4), {_sql_forward('lon', 'lat')}
 SELECT scene::VARCHAR AS scene_id, round(10 * floor(min(e) / 10), 3) AS b_x_min, round(10 * ceil(max(e) / 10), 3) AS b_x_max, round(10 * floor(min(n) / 10), 3) AS b_y_min, round(10 * ceil(max(n) / 10), 3) AS b_y_max FROM f GROUP BY 1""")
@@ -354,6 +369,15 @@ def warp_bilinear(spark, sf):
     return warp.warp_weighted(_merged(spark, sf), _targets(spark, sf), 32756, 32756, "bilinear").withColumn("value", F.round("value", 6))
 
 
+@query(f"""WITH {PX}, {LAST}, t AS (SELECT i AS "row", j AS col, -0.1 + (i + 0.5) * 2.5 AS y, -0.2 + (j + 0.5) * 2.5 AS x FROM range((SELECT (max("row") + 1) * 2 + 4 FROM px) // 5) a(i), range(40) b(j)),
+w AS (SELECT t."row", t.col, value, abs(y - m."row") AS a, abs(x - m.col) AS b FROM t JOIN m ON m."row" - floor(y) BETWEEN -2 AND 3 AND m.col - floor(x) BETWEEN -2 AND 3 AND value IS NOT NULL),
+k AS (SELECT "row", col, value, CASE WHEN a < 1e-9 THEN 1 WHEN a < 3 THEN 3 * sin(pi() * a) * sin(pi() * a / 3) / (pi() * a) ** 2 ELSE 0 END * CASE WHEN b < 1e-9 THEN 1 WHEN b < 3 THEN 3 * sin(pi() * b) * sin(pi() * b / 3) / (pi() * b) ** 2 ELSE 0 END AS w FROM w),
+s AS (SELECT "row", col, sum(w * value) AS s, sum(w) AS w FROM k GROUP BY 1, 2)
+SELECT t."row", t.col, round(CASE WHEN abs(w) > 1e-9 THEN s / w END, 4) AS value FROM t LEFT JOIN s USING ("row", col)""")
+def warp_lanczos(spark, sf):
+    return warp.warp_weighted(_merged(spark, sf), _targets(spark, sf), 32756, 32756, "lanczos").withColumn("value", F.round("value", 4))
+
+
 # ---- monitoring ---------------------------------------------------------------
 
 def _stamps(spark, sf) -> DataFrame:

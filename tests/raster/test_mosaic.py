@@ -194,12 +194,44 @@ def test_jobs(spark, tmp_path):
     assert [r.date for r in jobs.search(items, (1.5, 1.5, 3, 3), 2022).collect()] == ["2022-05-01"] and jobs.search(items, (5, 5, 6, 6), 2022).count() == 0
 
 
+@pytest.mark.parametrize("method", [*warp.NEIGHBOURS[1:], *warp.AREAS])
+def test_every_resampling_through_the_facade(spark, tmp_path, method):
+    """To an equal-area system and cells four times as wide; every pixel against its definition."""
+    r = np.random.default_rng(1)
+    data = r.integers(1, 9, (40, 48)).astype(np.float32)
+    data[5:9, 5:9] = 0
+    f = scene(tmp_path / "a.tif", data, 500000.0, 7000000.0, res=100.0)
+    out = str(tmp_path / "o.tif")
+    api.do_mosaic([f], out, outprojepsg=3577, outXres=400.0, outYres=400.0, resamplemethod=method, blocksize=16, spark=spark)
+    h, got = geotiff.read_header(out), geotiff.read_array(out)
+    assert (got != 0).sum() > 80
+    c, w = np.meshgrid(np.arange(48) + 0.5, np.arange(40) + 0.5)
+    x, y = geo.transform(32756, 3577, 500000 + c * 100, 7000000 - w * 100, geo.NUMPY)
+    tc, tr = np.floor((x - h.gt[0]) / 400).astype(int), np.floor((h.gt[3] - y) / 400).astype(int)
+    for i, j in zip(*np.nonzero(got)):
+        v = data[(tr == i) & (tc == j)].astype(float)
+        met, v = len(v), v[v != 0]
+        if method in warp.AREAS and met:
+            values, n = np.unique(v, return_counts=True)
+            want = {"average": np.mean, "min": np.min, "max": np.max, "sum": np.sum, "med": np.median, "mode": lambda v: values[n.argmax()], "q1": lambda v: np.quantile(v, 0.25), "q3": lambda v: np.quantile(v, 0.75),
+                    "rms": lambda v: np.sqrt(np.mean(v * v))}[method](v)
+            assert got[i, j] == pytest.approx(want, rel=1e-6)
+        elif method not in warp.AREAS:
+            px, py = geo.transform(3577, 32756, np.array(h.gt[0] + (j + 0.5) * 400), np.array(h.gt[3] - (i + 0.5) * 400), geo.NUMPY)
+            u, t = (px - 500000) / 100 - 0.5, (7000000 - py) / 100 - 0.5
+            near = [(a, b) for a in range(40) for b in range(48) if abs(a - t) < 4 and abs(b - u) < 4 and data[a, b] and a - np.floor(t) in warp.REACH[method] and b - np.floor(u) in warp.REACH[method]]
+            k = [float(warp.kernel(method, abs(a - t), np.sin, np.where) * warp.kernel(method, abs(b - u), np.sin, np.where)) for a, b in near]
+            assert got[i, j] == pytest.approx(sum(n * data[p] for n, p in zip(k, near)) / sum(k), rel=1e-4)
+
+
 def test_weighted_and_area_resampling(spark):
     data = np.arange(100.0).reshape(10, 10)
     px = spark.createDataFrame([(i, j, float(data[i, j])) for i in range(10) for j in range(10)], "row int, col int, value double")
     gt = lambda x, y, r: F.struct(F.lit(x).alias("x0"), F.lit(r).alias("xres"), F.lit(0.0).alias("xskew"), F.lit(y).alias("y0"), F.lit(0.0).alias("yskew"), F.lit(-r).alias("yres"))
     t = spark.range(9).select(F.floor(F.col("id") / 3).alias("row"), (F.col("id") % 3).alias("col"), gt(3.25, -3.5, 1.0).alias("gt"), gt(0.0, 0.0, 1.0).alias("source_gt"))
-    for method in ("bilinear", "cubic"):  # both are exact on a plane
+    flat = px.withColumn("value", F.lit(7.0))
+    assert all(r.value == pytest.approx(7) for r in warp.warp_weighted(flat, t, 32756, 32756, "lanczos").collect())
+    for method in ("bilinear", "cubic", "cubicspline"):  # all are exact on a plane
         for r in warp.warp_weighted(px, t, 32756, 32756, method).collect():
             assert r.value == pytest.approx(10 * (r.row + 3.5) + r.col + 3.25)
     assert {r.value for r in warp.resample_area(px, 5, "average").collect()} == {data[i:i + 5, j:j + 5].mean() for i in (0, 5) for j in (0, 5)}

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,32 @@ def test_projections_round_trip_and_match_known_points(spark):
     assert geo.epsg_of('PROJCS["x",AUTHORITY["EPSG","32756"]]') == 32756 == geo.epsg_of('PROJCS["WGS 84 / UTM zone 56S",GEOGCS["WGS 84"]]')
     with pytest.raises(geo.ProjectionError):
         geo.epsg_of("unknown")
+
+
+def test_an_odd_system_is_found_behind_many_spellings(spark):
+    """More than a thousand spellings of one system, then another one: that scene is named."""
+    base = {"ncols": 10, "nrows": 10, "dtype": "uint8", "gt": (0.0, 10.0, 0.0, 100.0, 0.0, -10.0)}
+    infos = [base | {"scene_id": f"s{i}", "srs": f'PROJCS["name {i}",AUTHORITY["EPSG","32756"]]'} for i in range(1200)]
+    catalog.check(catalog.catalog_of(spark, infos))
+    with pytest.raises(geo.ProjectionError, match="odd has another"):
+        catalog.check(catalog.catalog_of(spark, [*infos, base | {"scene_id": "odd", "srs": "EPSG:32755"}, *infos[:3]]))
+
+
+def test_conic_azimuthal_and_polar_systems():
+    """A published point; equal areas or equal angles everywhere; and back again."""
+    m, r = geo.NUMPY, np.random.default_rng(0)
+    x, y = geo.from_degrees(3035, np.array([5.0]), np.array([50.0]), m)
+    assert (round(float(x[0]), 2), round(float(y[0]), 2)) == (3962799.45, 2999718.85)
+    middle = {3112: (134, -25), 2154: (3, 46), 3577: (132, -25), 5070: (-96, 38), 3005: (-126, 54), 3035: (10, 52), 3031: (20, -75), 3976: (-60, -70), 3413: (-30, 75), 3995: (100, 80)}
+    assert set(middle) == set(geo.SYSTEMS)
+    for code, (lon, lat) in middle.items():
+        lon, lat, h = lon + r.uniform(-15, 15, 200), lat + r.uniform(-8, 8, 200), 1e-5
+        a, b = geo.to_degrees(code, *geo.from_degrees(code, lon, lat, m), m)
+        assert np.abs((a - lon + 180) % 360 - 180).max() < 1e-7 and np.abs(b - lat).max() < 1e-7
+        east, north = ([(p - q) / (2 * h) for p, q in zip(geo.from_degrees(code, lon + i, lat + j, m), geo.from_degrees(code, lon - i, lat - j, m))] for i, j in ((h, 0), (0, h)))
+        w = np.sqrt(1 - (geo._E * np.sin(lat * geo.RAD))**2)
+        nu, rho = geo.RADIUS / w * np.cos(lat * geo.RAD) * geo.RAD, geo.RADIUS * (1 - geo._E**2) / w**3 * geo.RAD
+        if code in geo.CONFORMAL_CONIC or code in geo.POLAR:
+            assert np.abs(np.hypot(*east) / nu / (np.hypot(*north) / rho) - 1).max() < 1e-7
+        else:
+            assert np.abs((east[0] * north[1] - east[1] * north[0]) / (nu * rho) - 1).max() < 1e-7
