@@ -7,7 +7,7 @@ assistant's text and the mark that ends it; everything else is masked).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN = "struct<role:string,text:string>"
@@ -15,29 +15,37 @@ TURN = "struct<role:string,text:string>"
 END = "<|end|>"
 
 
-def conversations_of(turns: DataFrame) -> DataFrame:
-    """conv_id, turns: the turns (conv_id, turn, role, text) of each conversation in order.
+#: Conversations whose numbers agree but for so many low bits look for each other's answers.
+NEIGHBOUR_BITS = 6
+
+
+def conversations_of(turns: DataFrame, *keys: str) -> DataFrame:
+    """conv_id, ``keys`` and turns: the turns (conv_id, turn, role, text) of each conversation in order.
 
     Ties of turn are ordered by role, then text, nulls first; rows without conv_id belong to none and are left out.
     A conversation is one record, so it is held in one row, as its rendering is.
     """
-    return (turns.where("conv_id IS NOT NULL").groupBy("conv_id")
+    return (turns.where("conv_id IS NOT NULL").groupBy(*keys, "conv_id")
             .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-            .select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")))
+            .select(*keys, "conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")))
 
 
 def answer_pairs(turns: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected: each conversation against itself with another's last answer.
+    """pair_id, chosen, rejected: each conversation, up to its last answer, against itself gone astray.
 
-    The rejected one ends in the last assistant turn of the conversation numbered next; conversations without
-    assistant turn, and those whose next one is not there or has none, give no pair.
+    The rejected one leaves at one of the assistant turns (the one numbered conv_id modulo their number, from 0) and ends there, with
+    the last answer of the next conversation that has one, among those whose numbers agree but for the low ``NEIGHBOUR_BITS`` bits; after the
+    last of these comes the first. Only a conversation without assistant turn, or alone with one among its neighbours, gives no pair.
+    All rows of neighbours are dealt to one task together, once: conversations, and who is next, need no other shuffle.
     """
-    last = F.filter(F.transform("turns", lambda x, i: F.struct(i.alias("i"), x["role"].alias("role"), x["text"].alias("text"))), lambda x: x["role"] == "assistant")
-    c = conversations_of(turns).withColumn("answers", last).where(F.size("answers") > 0).withColumn("last", F.element_at("answers", -1)).drop("answers")
-    other = c.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("answer"))
-    swapped = F.concat(F.slice("turns", F.lit(1), F.col("last.i")), F.array(F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text"))))
-    up_to = F.slice("turns", F.lit(1), F.col("last.i") + 1)
-    return c.join(other, "conv_id").select(F.col("conv_id").alias("pair_id"), up_to.alias("chosen"), swapped.alias("rejected"))
+    near = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("near", F.shiftright("conv_id", NEIGHBOUR_BITS)).repartition("near")
+    at = F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == "assistant", i)), lambda i: i.isNotNull())
+    c = conversations_of(near, "near").withColumn("at", at).where(F.size("at") > 0).withColumn("last", F.element_at("at", -1))
+    c = c.withColumn("answer", F.struct(F.lit("assistant").alias("role"), F.element_at("turns", F.col("last") + 1)["text"].alias("text")))
+    by = Window.partitionBy("near").orderBy("conv_id")
+    c = c.withColumn("other", F.coalesce(F.lead("answer").over(by), F.first("answer").over(by))).withColumn("n", F.count("*").over(Window.partitionBy("near"))).where("n > 1")
+    leaves = F.element_at("at", (F.pmod("conv_id", F.size("at")) + 1).cast("int"))
+    return c.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("last") + 1).alias("chosen"), F.concat(F.slice("turns", F.lit(1), leaves), F.array("other")).alias("rejected"))
 
 
 def _head(x):

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_dir
+
 #: Bytes of text handled at once by the numpy kernels.
 SLICE_BYTES = 1 << 19
 
@@ -35,18 +36,6 @@ _PINV = np.uint64(pow(int(_P), -1, 2**64))
 
 # ---- Spark ---------------------------------------------------------------
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="gridloom-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found if ":" in found.split("/")[0] else f"file://{found}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; a lost executor then costs no recomputation."""
     shared_dir(df.sparkSession)

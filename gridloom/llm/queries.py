@@ -115,19 +115,21 @@ def op9_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
-l AS (SELECT conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) AS i FROM c),
-p AS (SELECT a.conv_id AS pair_id, a.t[1:a.i] AS a, list_append(a.t[1:a.i - 1], {'role': 'assistant', 'text': b.t[b.i].text}) AS b
-      FROM l a JOIN l b ON b.conv_id = a.conv_id + 1 WHERE a.i IS NOT NULL AND b.i IS NOT NULL),
-m AS (SELECT pair_id, a, b, CASE WHEN a[len(a)].text IS NOT DISTINCT FROM b[len(b)].text THEN len(a) ELSE len(a) - 1 END AS n FROM p),
-r AS (SELECT pair_id, n, list_transform(a, lambda x: {'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS a,
-             list_transform(b, lambda x: {'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS b FROM m)
+l AS (SELECT conv_id, t, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS pos FROM c),
+x AS (SELECT conv_id, floor(conv_id / 64.0) AS near, t[1:pos[len(pos)]] AS t, {'role': 'assistant', 'text': t[pos[len(pos)]].text} AS answer, pos[1 + (conv_id % len(pos) + len(pos)) % len(pos)] AS k FROM l WHERE len(pos) > 0),
+o AS (SELECT conv_id, t, k, coalesce(lead(answer) OVER w, first_value(answer) OVER w) AS other, count(*) OVER (PARTITION BY near) AS n FROM x WINDOW w AS (PARTITION BY near ORDER BY conv_id)),
+m AS (SELECT conv_id AS pair_id, t AS a, list_append(t[1:k - 1], other) AS b, CASE WHEN t[k].text IS NOT DISTINCT FROM other.text THEN k ELSE k - 1 END AS n FROM o WHERE n > 1),
+r AS (SELECT pair_id, n, list_transform(a, lambda x: {'role': x.role, 'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS a,
+             list_transform(b, lambda x: {'role': x.role, 'head': '<|' || coalesce(x.role, '') || '|>' || chr(10), 'body': coalesce(x.text, '') || '<|end|>'}) AS b FROM m),
+s AS (SELECT pair_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM r),
+z AS (SELECT *, list_transform(a, lambda x: length(x.head) + length(x.body) + 1) AS za, list_transform(b, lambda x: length(x.head) + length(x.body) + 1) AS zb FROM s)
 SELECT pair_id, n::INTEGER AS n_common,
-  array_to_string(list_transform(a[1:n], lambda x: x.head || x.body || chr(10)), '') AS prompt,
-  array_to_string(list_transform(a[n + 1:], lambda x: x.head || x.body || chr(10)), '') AS chosen,
-  array_to_string(list_transform(a[n + 1:], lambda x: length(x.head)::VARCHAR || '-' || (length(x.head) + length(x.body))::VARCHAR), ',') AS chosen_spans,
-  array_to_string(list_transform(b[n + 1:], lambda x: x.head || x.body || chr(10)), '') AS rejected,
-  array_to_string(list_transform(b[n + 1:], lambda x: length(x.head)::VARCHAR || '-' || (length(x.head) + length(x.body))::VARCHAR), ',') AS rejected_spans
-FROM r
+  array_to_string(list_transform(p, lambda x: x.head || x.body || chr(10)), '') AS prompt,
+  array_to_string(list_transform(a, lambda x: x.head || x.body || chr(10)), '') AS chosen,
+  array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'), lambda i: (coalesce(list_sum(za[1:i - 1]), 0) + length(a[i].head))::BIGINT::VARCHAR || '-' || (list_sum(za[1:i]) - 1)::BIGINT::VARCHAR), ',') AS chosen_spans,
+  array_to_string(list_transform(b, lambda x: x.head || x.body || chr(10)), '') AS rejected,
+  array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'assistant'), lambda i: (coalesce(list_sum(zb[1:i - 1]), 0) + length(b[i].head))::BIGINT::VARCHAR || '-' || (list_sum(zb[1:i]) - 1)::BIGINT::VARCHAR), ',') AS rejected_spans
+FROM z
 """
 
 

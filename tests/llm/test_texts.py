@@ -315,9 +315,9 @@ def test_toxicity_without_labels_or_documents(spark):
 
 
 def test_preferences(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "ho"), (2, 2, "assistant", None), (2, 1, None, "x"), (3, 0, "user", "only"), (None, 0, "user", "lost"), (4, 0, "assistant", "q")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "ho"), (2, 2, "assistant", None), (2, 1, None, "x"), (3, 0, "user", "only"), (None, 0, "user", "lost"), (64, 0, "assistant", "q")]
     got = {r.pair_id: r for r in chat.preference_report(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()}
-    assert set(got) == {1}
+    assert set(got) == {1, 2}  # 64 has no neighbour
     r = got[1]
     assert (r.n_common, r.prompt, r.chosen, r.rejected) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\n<|end|>\n")
     a, b = map(int, r.chosen_spans.split("-"))
@@ -329,6 +329,36 @@ def test_preferences(spark):
     assert chat.preference_report(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_preferences_match_a_loop(spark):
+    """Gaps in the numbers, negative numbers, ties, repeated rows, nulls, a very long text, an extra column of a clashing name."""
+    r = random.Random(12)
+    ids = [i for i in range(-70, 300) if r.random() < 0.4] + [2**40, 2**40 + 5]
+    rows = [(i, t, r.choice(["user", "assistant", "assistant", None]), r.choice([None, "", "a", "b\nc", f"é{i}"]), "n") for i in ids for t in [r.choice([None, 1, 2, 2, 3]) for _ in range(r.randint(1, 6))]]
+    rows += rows[:20] + [(5, 9, "assistant", "long " * 50_000, "n"), (None, 1, "assistant", "x", "n")]
+    key = lambda x: (x is not None, x if x is not None else "")
+    held = {}
+    for i, t, role, text, _ in rows:
+        if i is not None:
+            held.setdefault(i, []).append((key(t), key(role), key(text), role, text))
+    held = {i: [x[3:] for x in sorted(v)] for i, v in held.items()}
+    answers = {i: [k for k, x in enumerate(v) if x[0] == "assistant"] for i, v in held.items()}
+    groups = {}
+    for i in sorted(i for i in held if answers[i]):
+        groups.setdefault(i >> 6, []).append(i)
+    want = {}
+    show = lambda xs: "".join(f"<|{a or ''}|>\n{t or ''}<|end|>\n" for a, t in xs)
+    for g in groups.values():
+        for i, j in zip(g, g[1:] + g[:1]):
+            if i != j:
+                a, k = held[i][:answers[i][-1] + 1], answers[i][i % len(answers[i])]
+                b = a[:k] + [("assistant", held[j][answers[j][-1]][1])]
+                n = next((x for x in range(min(len(a), len(b))) if a[x] != b[x]), min(len(a), len(b)))
+                want[i] = (n, show(a[:n]), show(a[n:]), ["".join([t or "", "<|end|>"]) for y, t in a[n:] if y == "assistant"], show(b[n:]))
+    got = chat.preferences(chat.answer_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, near string"))).collect()
+    assert {x.pair_id: (x.n_common, x.prompt, x.chosen, [x.chosen[s.start:s.end] for s in x.chosen_spans], x.rejected) for x in got} == want
+    assert len(got) == len(want) and len({x[0] for x in want.values()}) > 3
+
+
 def test_licences(spark):
     mit = dict(license.TEXTS)["MIT"]
     rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("LICENSE", "LICENCE")), (3, mit + " no"), (4, None), (5, "prose\nReleased under the  MIT licence\nLicensed under CC BY-NC 4.0."), (5, "prose\nReleased under the  MIT licence\nLicensed under CC BY-NC 4.0.")]
@@ -348,3 +378,27 @@ def test_licences_of_full_texts_with_and_without_titles(spark):
         rows += [(name, "Copyright (c) 2020 Someone\n" + whole.replace("\n", "\n  ")), (None, whole[:len(whole) // 2])]
     got = {r.doc_id: r.license_id for r in license.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == [x for x, _ in rows]
+
+
+def test_licences_of_nulls_repeats_long_texts_and_clashing_columns(spark):
+    mit = dict(license.TEXTS)["MIT"]
+    rows = [(None, mit, "x"), (1, mit, None), (1, mit, None), (2, None, "y"), (3, " \n\t", None), (4, "word " * 300_000 + "\nSPDX-License-Identifier: MIT\n", None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_id string")
+    got = sorted(((r.doc_id, r.license_id, r.notices) for r in license.scan(df).collect()), key=str)
+    assert got == sorted([(None, "MIT", ""), (1, "MIT", ""), (1, "MIT", ""), (2, None, ""), (3, None, ""), (4, None, "MIT"), (5, None, "")], key=str)
+    assert license.scan(df.limit(0)).columns == ["doc_id", "digest", "license_id", "notices"]
+
+
+@pytest.mark.parametrize("sources", [1000, 2])
+def test_mixture_of_many_sources_in_shares(spark, monkeypatch, sources):
+    """Sources in shares of about two: targets hold all the same."""
+    monkeypatch.setattr(mixing, "SOURCES", sources)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
+    r = random.Random(3)
+    rows = [(i, f"s{r.randrange(40):02d}" if i % 9 else None, "w " * r.randint(0, 30)) for i in range(2000)]
+    taken = {}
+    for x in mixing.mixture(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect():
+        s = dict((i, y) for i, y, _ in rows)[x.doc_id]
+        t = taken.setdefault(s, [0, x.target, x.source_size])
+        t[0] += x.taken
+    assert len(taken) == 41 and all(abs(a - b) <= 90 for a, b, _ in taken.values())
