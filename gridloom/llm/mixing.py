@@ -9,8 +9,8 @@ words differ from its target by no more than its last document.
 Rounding runs as a reduction tree. A bucket of documents (by hash, their number set by the
 number of documents alone) leaves at most one unrounded document a source; these residuals
 are paired in groups of ``FAN`` buckets, level by level, until one a source is left, which is
-drawn. A hot source is spread over all buckets, and no task sees more than a bucket or
-``FAN`` residuals a source. Draws come from hashes of doc_id, so reruns agree whatever the
+drawn. A hot source is spread over all buckets, and no group holds more than a bucket or
+``FAN`` residuals of each of about ``SOURCES`` sources. Draws come from hashes of doc_id, so reruns agree whatever the
 partitions are.
 """
 
@@ -27,8 +27,8 @@ from gridloom.llm.common import WORD, cut
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BUCKET_DOCS, FAN = 4096, 64
-_UNIT = "row_id string, source string, size long, bucket long, draw double, fraction double, copies long"
+BUCKET_DOCS, FAN, SOURCES = 4096, 64, 1000
+_UNIT = "row_id string, source string, size long, bucket long, draw double, fraction double, copies long, share long"
 
 
 def word_count(text) -> F.Column:
@@ -114,15 +114,17 @@ def copy_numbers(units: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFra
     buckets = max(1, n // BUCKET_DOCS)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     draw = F.pmod(F.xxhash64("row_id", F.lit(29)), F.lit(1 << 40)) / float(1 << 40)
-    x = units.join(goal, units.source.eqNullSafe(goal.source)).select("row_id", units.source, "size", F.pmod(F.xxhash64("row_id", F.lit(31)), F.lit(buckets)).alias("bucket"), draw.alias("draw"), (copies - F.floor(copies)).alias("fraction"), F.floor(copies).cast("long").alias("copies"))
+    # Sources are spread too, so that neither very many nor a hot one make a large group.
+    share = F.pmod(F.xxhash64("source"), F.lit(goal.count() // SOURCES + 1)).alias("share")
+    x = units.join(goal, units.source.eqNullSafe(goal.source)).select("row_id", units.source, "size", F.pmod(F.xxhash64("row_id", F.lit(31)), F.lit(buckets)).alias("bucket"), draw.alias("draw"), (copies - F.floor(copies)).alias("fraction"), F.floor(copies).cast("long").alias("copies")).select("*", share)
     # Rows without words take nothing and need no rounding.
     idle = x.where("size = 0").select("row_id", F.lit(0).cast("long").alias("copies"))
-    done = cut(x.where("size > 0").groupBy("bucket").applyInPandas(partial(_round, last=buckets == 1), _UNIT))
+    done = cut(x.where("size > 0").groupBy("bucket", "share").applyInPandas(partial(_round, last=buckets == 1), _UNIT))
     result, rest, level = done.where("fraction = 0").select("row_id", "copies").union(idle), done.where("fraction > 0"), buckets
     while level > 1:
         level = -(-level // FAN)
         rest = rest.withColumn("bucket", F.pmod(F.col("bucket"), F.lit(level)))
-        rest = cut(rest.groupBy("bucket").applyInPandas(partial(_round, last=level == 1), _UNIT))
+        rest = cut(rest.groupBy("bucket", "share").applyInPandas(partial(_round, last=level == 1), _UNIT))
         result, rest = result.union(rest.where("fraction = 0").select("row_id", "copies")), rest.where("fraction > 0")
     return units.join(result, "row_id").join(goal, units.source.eqNullSafe(goal.source)).select("row_id", units.source, "size", "source_size", "target", "copies")
 
