@@ -36,6 +36,14 @@ _PINV = np.uint64(pow(int(_P), -1, 2**64))
 
 # ---- Spark ---------------------------------------------------------------
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, or with as many underscores behind it as it takes not to be that of a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder; a lost executor then costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, first_id, named, settled, shingle_sets
+from gridloom.llm.common import components, cut, first_id, free, named, settled, shingle_sets
 
 WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13, 80, 256, 2_000_000, 4
 _R = np.random.default_rng(7)
@@ -286,5 +286,6 @@ def one_per_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
     Rows that repeat a kept doc_id and its text stay once.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = free(docs, "_kept_id")
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -159,8 +159,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
     Rows without words (null, empty, blank) take nothing and always go, whatever the factor of their source; a source of such rows only goes whole.
     """
-    got = copy_numbers(cut(_units(docs)), weights, most).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_words", word_count(F.col("text").cast("string"))).withColumn("_th", F.xxhash64("text")).withColumn("_key", row_key("_words", "_th"))
-    names = docs.columns
-    return (keyed.join(got, keyed._key == got._row).select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
-            .select(*names))
+    got = copy_numbers(cut(_units(docs)), weights, most).where("copies > 0").select("row_id", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("copies"))
+    # Whole rows in one column, whatever theirs are named.
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("words"), F.xxhash64("text").alias("th"))
+    return keyed.select("row", row_key().alias("row_id")).join(got, "row_id").select("row", F.explode("copies")).select("row.*")

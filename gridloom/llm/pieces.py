@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat, settled, slices, span_hashes
+from gridloom.llm.common import flat, free, settled, slices, span_hashes
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -341,25 +341,19 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def encoded(docs: DataFrame, model: str = MODEL, column: str = "piece_ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text; null for a null text, none for an empty one.
 
     A ``column`` that is there already gets an underscore behind the new one's name.
     """
-    column = _free(docs, column)
+    column = free(docs, column)
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))
     return docs.mapInArrow(partial(_encode, shared=shared, column=column, digests=False), f"{_schema(docs)}, `{column}` array<int>")
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", model: str = MODEL, column: str = "decoded") -> DataFrame:
     """``df`` with the text that each array of piece ids spells; null for null."""
-    column = _free(df, column)
+    column = free(df, column)
     shared = df.sparkSession.sparkContext.broadcast(load_model(model))
     return df.mapInArrow(partial(_decode, shared=shared, ids=ids, column=column), f"{_schema(df)}, `{column}` string")
 

@@ -502,7 +502,9 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     A code point that loses some of its bytes goes whole. Null texts stay null.
     """
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else 'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    texts, spans = _ranged(_prepared(docs), length)
-    return texts.cogroup(spans).applyInArrow(lambda a, b: _without(a, b, names), schema)
+    # Other columns travel under names of their own, so that none can clash.
+    names = [c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
+    inner = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {'string' if f.name == 'text' else 'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in inner.schema)
+    texts, spans = _ranged(_prepared(inner), length)
+    return texts.cogroup(spans).applyInArrow(lambda a, b: _without(a, b, names), schema).toDF(*docs.columns)

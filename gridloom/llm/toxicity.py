@@ -34,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, flat, mix, settled, slices, words
+from gridloom.llm.common import cut, flat, free, mix, settled, slices, words
 from gridloom.llm.suffix import pack, stack, unpack
 
 PER_CLASS = 6000
@@ -397,7 +397,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` without the documents that score at or above the threshold."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = free(docs, "_toxicity")
     return with_score(docs, labels, per_class, name).where(F.col(name) < threshold).drop(name)
