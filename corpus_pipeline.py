@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import common, minhash, mixing, pieces, suffix, toxicity
-from gridloom.session import ship
+from gridloom.llm import minhash, mixing, pieces, suffix, toxicity
+from gridloom.session import remove, shared_dir, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,16 +52,21 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Suffixes, dependent rounding and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Suffixes, dependent rounding and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage wrote goes when the next one is written; the last of it stays, as the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{k}-{name}"
     return docs
