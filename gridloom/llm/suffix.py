@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut, flat, mix, partitions, settled, slices
 
 SEED = 16
-BUCKET_BYTES = 16 << 20
+#: Text of a bucket, and how many groups the contexts and windows of one bucket are compared in.
+BUCKET_BYTES, SPREAD = 12 << 20, 4
 #: Bytes of anchors that a task sorts and combines at once.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 16 << 20
 #: For splitters: documents sampled at least, keys of each, and keys a bucket beyond that. The driver holds no more.
 SAMPLE_DOCS, SAMPLE_KEYS, BUCKET_KEYS = 2000, 32, 4
 #: Rows up to which quicksort leaves the rest to a plain sort, and windows that a task combines at once.
@@ -276,7 +277,7 @@ def _bucket(key, table, length, buckets, shared):
                 across |= (head["k0"] == shared.value[0][i]) & (head["k1"] == (shared.value[1][i] >> _U(48)).astype(np.uint16))
         inside = ((contexts > 1) & (least < most))[seed] & ~across
         # Seeds are dealt anew: which of them have contexts to compare does not follow their order.
-        to = (mix(head["k0"] ^ head["k1"]) % _U(buckets)).astype(np.int32)
+        to = (mix(head["k0"] ^ head["k1"]) % _U(buckets * SPREAD)).astype(np.int32)
         for kind, ask in ((1, inside), (2, across)):
             rows.append(_by_doc(kind, {c: head[c][ask] for c in ("doc", "tag", "a", "ma", "n")} | {"to": to[ask]}, buckets))
     return pa.Table.from_batches([_blocks(x for part in rows for x in part)])
@@ -304,8 +305,8 @@ def _windows(texts: list[bytes], r, length: int):
     count = r["n"].astype(np.int64) + 1
     text = np.frombuffer(b"".join(texts), np.uint8)
     base = np.concatenate([[0], np.cumsum(count + length - 1)])[:-1]
-    owner = np.repeat(np.arange(len(count)), count)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    step = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     padded = np.zeros(len(text) + 64, np.uint8)
     padded[:len(text)] = text
     return window_hash(_at(padded, len(text) + 48), base[owner] + step, length), owner, step
@@ -329,9 +330,9 @@ def _dealt(texts: list[bytes], r, length: int, buckets: int):
     later = doc[order] > doc[order][start][group]
     yield from _by_doc(0, _merged(r, owner, step, order[later], length), buckets)
     left = order[~later]
-    to = (h[left] % _U(buckets)).astype(np.int64)
+    to = (h[left] % _U(buckets * SPREAD)).astype(np.int64)
     by = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[by], np.arange(buckets + 1))
+    edges = np.searchsorted(to[by], np.arange(buckets * SPREAD + 1))
     for k in np.flatnonzero(np.diff(edges)):
         x = left[by[edges[k]:edges[k + 1]]]
         yield 3, int(k), pack({"h": h[x], "doc": doc[x], "tag": r["tag"][owner[x]], "a": (r["a"][owner[x]] + step[x]).astype(np.uint32)})
@@ -381,9 +382,13 @@ def _compare(key, table, length, buckets):
         text = [b.pop("text").tobytes() for b in by[1]]
         r = stack(by[1])
         h, owner, step = _windows(text, r, length)
-        order, group, start = _least([h], r["doc"][owner])
-        doc = r["doc"][owner][order]
-        rows.append(_by_doc(0, _merged(r, owner, step, order[doc > doc[start][group]], length), buckets))
+        del text
+        doc = r["doc"][owner]
+        order, group, start = _least([h], doc)
+        doc = doc[order]
+        later = order[doc > doc[start][group]]
+        del h, group, order, doc
+        rows.append(_by_doc(0, _merged(r, owner, step, later, length), buckets))
     if 3 in by:
         r = stack(by[3])
         order, group, start = _least([r["h"]], r["doc"])
