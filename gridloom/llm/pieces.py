@@ -33,7 +33,7 @@ _MARK = MARK.encode()
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 #: Chunks that a task remembers (twice as many at most), the longest of them, and pairs of pieces.
-REMEMBERED, REMEMBERED_BYTES, JOINS = 200_000, 64, 500_000
+REMEMBERED, REMEMBERED_BYTES, JOINS = 120_000, 64, 250_000
 UNIGRAM, BPE = 1, 2
 _WORST = -1e300
 
