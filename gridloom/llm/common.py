@@ -157,6 +157,13 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def parts_of(batches, rows: int = 512):
+    """Batches of fewer rows: what is made of a batch in Python is held only for these."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def settled(run):
     """A task's generator after which the worker, which Spark keeps for later tasks, gives freed memory back."""
     @functools.wraps(run)

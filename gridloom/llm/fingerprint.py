@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mix, partitions
+from gridloom.llm.common import mix, partitions, parts_of
 
 PRIMES = (2147483629, 2147483587)
 BASES = (911382323, 972663749)
@@ -115,7 +115,7 @@ def _bucketed(batches, shared):
     """Rows with their bucket; the first document of a bucket also goes to the bucket before it."""
     splitters, head_ids, head_to = shared.value
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts_of(batches):
         ids = batch.column("doc_id").fill_null(FIRST_ID).to_numpy(zero_copy_only=False)
         to = np.searchsorted(splitters, ids, "right")
         rows, bucket, extra = np.arange(len(ids)), to, np.zeros(len(ids), np.int32)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, cut, first_id, free, named, settled, shingle_sets
+from gridloom.llm.common import components, cut, first_id, free, named, parts_of, settled, shingle_sets
 
 WIDTH, INDEX, MATCH_INDEX, MATCH_FULL, BLOCK, BLOCK_SHINGLES, HUBS = 128, 32, 13, 80, 256, 2_000_000, 4
 _R = np.random.default_rng(7)
@@ -76,7 +76,7 @@ def _features(k: int):
 @settled
 def _packed(batches):
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts_of(batches):
         texts = [z.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(texts, pa.binary())], names=["doc_id", "th", "packed"])
 

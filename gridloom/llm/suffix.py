@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, flat, mix, partitions, settled, slices
+from gridloom.llm.common import cut, flat, mix, partitions, parts_of, settled, slices
 
 SEED = 16
 #: Text of a bucket, and how many groups the contexts and windows of one bucket are compared in.
@@ -437,7 +437,7 @@ def _without(docs, spans, names):
 @settled
 def _packed(batches, buckets):
     z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts_of(batches):
         to = doc_bucket(_ids(batch.column("_id")), buckets).astype(np.int32)
         cols = {n: batch.column(n) for n in batch.schema.names}
         text = cols["text"]
