@@ -39,7 +39,7 @@ SEED = 16
 #: Text of a bucket, and how many groups the contexts and windows of one bucket are compared in.
 BUCKET_BYTES, SPREAD = 12 << 20, 4
 #: Bytes of anchors that a task sorts and combines at once.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 #: For splitters: documents sampled at least, keys of each, and keys a bucket beyond that. The driver holds no more.
 SAMPLE_DOCS, SAMPLE_KEYS, BUCKET_KEYS = 2000, 32, 4
 #: Rows up to which quicksort leaves the rest to a plain sort, and windows that a task combines at once.
@@ -244,7 +244,7 @@ def _map(batches, length, shared, held_bytes=HELD_BYTES):
         for k in np.flatnonzero(np.diff(edges)):
             yield 1, int(k), pack({c: v[edges[k]:edges[k + 1]] for c, v in r.items()})
 
-    for batch in batches:
+    for batch in parts_of(batches):
         for r in _records(batch, length):
             held.append(r)
             size += 20 * len(r["a"])
