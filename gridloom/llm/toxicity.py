@@ -17,8 +17,9 @@ The counts cover every labelled training document, however many there are, but t
 documents of either class. The tables are keyed by the words and bigrams themselves (64-bit hashes), so they grow
 with the vocabulary and no two expressions share an entry. They are counted in parts of the bigrams, then of the words, that grow in number
 with the training documents. What the discounts leave nothing of has the ratio of an unseen word, or of its word,
-so only the other entries are kept: in a file that executors fetch and their workers map, of which
-the driver holds one part at a time. Scoring takes every text whole.
+so only the other entries are kept. Up to ``FILE_BYTES`` of them go in a file that executors fetch and their workers map, of which
+the driver holds one part at a time. Beyond that no task sees the whole table: texts are cut into slices, each slice asks for its distinct
+expressions, and the answers come back to it (``_dealt_out``). Scoring takes every text whole.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ PER_CLASS = 6000
 #: Training documents a part of the bigrams, such parts to one of the words, rows of (doc_id, class) that a broadcast may hold.
 PART_DOCS, FAN, BROADCAST_ROWS = 5_000, 4, 1_000_000
 DISCOUNT_PAIR, DISCOUNT_WORD, SATURATE, SHIFT, STRONG, TOP = 5, 2, 2, 0.5, 3.0, 3
+#: Bytes of ratios that executors may fetch as a file; beyond, bytes of ratios a part, of text a slice, and slices that ask one copy of a part, for each part.
+FILE_BYTES, TABLE_BYTES, PIECE_BYTES, ASKING = 512 << 20, 16 << 20, 8 << 20, 4
 FEATURES = 4
 FLOOR = 1e-15
 _U = np.uint64
@@ -229,9 +232,8 @@ def _ratios(key, table, total):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([len(x["k"])], pa.int64()), "pairs": pa.array([len(keys)], pa.int64()), "block": pa.array([block], pa.binary())})
 
 
-def _stored(found: DataFrame) -> tuple[str, int, int]:
+def _stored(found: DataFrame, sizes) -> tuple[str, int, int]:
     """The parts in one file of the executors: name, numbers of words and bigrams. A last key ends either, as a bound for look-ups."""
-    sizes = sorted((r.part, r.words, r.pairs) for r in found.select("part", "words", "pairs").collect())
     n, m = sum(x[1] for x in sizes) + 1, sum(x[2] for x in sizes) + 1
     starts, i, j = {}, 0, 0
     for part, a, b in sizes:
@@ -268,14 +270,14 @@ def _looked_up(keys, values, asked, missing) -> np.ndarray:
 
 
 class Model:
-    """The file of ratios, the ratio of an unseen word, and the logistic weights."""
+    """The ratios (a file, or a table too large for one), the ratio of an unseen word, and the logistic weights."""
 
-    def __init__(self, stored: tuple[str, int, int], unseen: float):
-        self.stored, self.unseen, self.views = stored, unseen, None
+    def __init__(self, stored: tuple[str, int, int] | None, unseen: float, tables: DataFrame | None = None, parts: int = 0):
+        self.stored, self.unseen, self.views, self.tables, self.parts = stored, unseen, None, tables, parts
         self.weights, self.scale = np.zeros(FEATURES + 1), np.ones(FEATURES)
 
     def __getstate__(self):
-        return self.__dict__ | {"views": None}
+        return self.__dict__ | {"views": None, "tables": None}
 
     def ratio(self, before, h) -> np.ndarray:
         """log p(word | context, toxic) - log p(word | context, ordinary), each with interpolated backoff."""
@@ -317,6 +319,111 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + (x / self.scale) @ self.weights[1:], -30, 30)))
 
 
+def _spread(kind: str, keys, parts: int, values=None):
+    """(part, kind, block) of keys dealt evenly: bigrams of one word go to different parts."""
+    part = _part(mix(keys), parts)
+    order = np.argsort(part, kind="stable")
+    found, edges = np.unique(part[order], return_index=True)
+    for p, i, j in zip(found.tolist(), edges, [*edges[1:], len(order)]):
+        o = order[i:j]
+        yield p, kind, pack({"k": keys[o]} | ({} if values is None else {"x": values[o]}))
+
+
+@settled
+def _redealt(batches, parts):
+    for batch in batches:
+        for block in batch.column("block").to_pylist():
+            r = unpack(block)
+            rows = [*_spread("word", r["words"], parts, r["ratio"]), *_spread("pair", r["pairs"], parts, r["moved"])]
+            yield from _table(rows).to_batches()
+
+
+def _cut_up(batches):
+    """Rows as slices of about ``PIECE_BYTES`` of text, or of one row, each with a name of its own."""
+    for batch in batches:
+        for i, j in slices(flat(batch.column("text"))[1], PIECE_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(i, j - i))
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "rows"])
+
+
+@settled
+def _asked(batches, parts):
+    """The distinct words and bigrams of each slice."""
+    for batch in batches:
+        for name, rows in zip(batch.column("slice").to_pylist(), batch.column("rows").to_pylist()):
+            h, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, _, _, w, before in _tokens(pa.ipc.open_stream(rows).read_all().column("text")):
+                h.append(np.unique(w))
+                pairs.append(np.unique(_key(before, w)))
+            asks = _table([*_spread("word", np.unique(np.concatenate(h)), parts), *_spread("pair", np.unique(np.concatenate(pairs)), parts)])
+            yield from asks.append_column("slice", pa.array([name] * asks.num_rows, pa.string())).to_batches()
+
+
+def _answered(asks, table):
+    """What one part of the table says of each slice's keys; nothing of those that it does not hold."""
+    held = {}
+    for kind, r in _blocks(table).items():
+        order = np.argsort(r["k"])
+        held[kind] = r["k"][order], r["x"][order]
+    out = []
+    for name, kind, block in zip(*(asks.column(c).to_pylist() for c in ("slice", "kind", "block"))):
+        if kind in held:
+            asked, (keys, values) = unpack(block)["k"], held[kind]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = keys[at] == asked
+            if hit.any():
+                out.append((name, kind, pack({"k": asked[hit], "x": values[at[hit]]})))
+    return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate((("slice", pa.string()), ("kind", pa.string()), ("block", pa.binary())))})
+
+
+def _known(model: Model, answers) -> None:
+    """The answers to one slice as the model's look-up arrays."""
+    r, views = _blocks(answers), {}
+    for kind in ("word", "pair"):
+        x = r.get(kind) or {"k": np.zeros(0, np.uint64), "x": np.zeros(0, np.float32)}
+        order = np.argsort(x["k"])
+        views[kind] = np.append(x["k"][order], _U(2**64 - 1)), np.append(x["x"][order], np.float32(0))
+    model.views = views["word"][0], views["pair"][0], views["word"][1], views["pair"][1]
+
+
+def _dealt_out(docs: DataFrame, model: Model, make, schema: str) -> DataFrame:
+    """``make(model, batch)`` of all rows where the table of ratios is too large for a file.
+
+    A slice asks once for an expression, however often it holds it, and a part's copies grow in number with the slices, so neither frequent
+    words nor many texts make a group large. What a slice gets back is bounded by its own text.
+    """
+    spark, parts = docs.sparkSession, model.parts
+    pieces = cut(docs.mapInArrow(_cut_up, "slice string, rows binary"))
+    copies = pieces.count() // (ASKING * parts) + 1
+    asks = pieces.mapInArrow(partial(_asked, parts=parts), "part int, kind string, block binary, slice string").withColumn("copy", F.pmod(F.xxhash64("slice"), F.lit(copies)).cast("int"))
+    tables = model.tables.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    answers = asks.groupBy("part", "copy").cogroup(tables.groupBy("part", "copy")).applyInArrow(_answered, "slice string, kind string, block binary")
+    shared = spark.sparkContext.broadcast(model)
+
+    def joined(rows, answers):
+        own = shared.value
+        _known(own, answers)
+        return pa.Table.from_batches([make(own, b) for block in rows.column("rows").to_pylist() for b in pa.ipc.open_stream(block)])
+
+    return pieces.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(joined, schema)
+
+
+def _applied(docs: DataFrame, model: Model | float, make, schema: str) -> DataFrame:
+    """``make(model, batch)`` of all rows of ``docs``, which have a column text."""
+    if isinstance(model, Model) and model.tables is not None:
+        return _dealt_out(docs, model, make, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @settled
+    def run(batches):
+        for batch in batches:
+            yield make(shared.value, batch)
+
+    return docs.mapInArrow(run, schema)
+
+
 COUNTS, DEALT = "part int, block binary", "part int, kind string, block binary"
 
 
@@ -348,18 +455,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     total[4] += 0.5  # the word never seen
     found = cut(counted.where("kind <> 'total'").groupBy("part").applyInArrow(lambda key, t: _ratios(key, t, total), "part int, words long, pairs long, block binary"))
     never = [np.log(total[2 + y] / max(1.0, total[y]) * 0.5 / total[4] + FLOOR) for y in (0, 1)]
-    model = Model(_stored(found), float(never[1] - never[0]))
-    shared = spark.sparkContext.broadcast(model)
-
-    @settled
-    def measured(batches):
-        for batch in batches:
-            x = shared.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
-
+    unseen = float(never[1] - never[0])
+    held = sorted((r.part, r.words, r.pairs) for r in found.select("part", "words", "pairs").collect())
+    size = 12 * sum(x[1] + x[2] for x in held)
+    if size <= FILE_BYTES:
+        model = Model(_stored(found, held), unseen)
+    else:
+        tables = size // TABLE_BYTES + 1
+        model = Model(None, unseen, cut(found.mapInArrow(partial(_redealt, parts=tables), DEALT)), tables)
     # At most 2 * per_class rows, of two numbers here and of FEATURES + 1 on the driver.
-    rows = texts.join(F.broadcast(calibrate.select("doc_id", "toxic")), "doc_id").select("text", "toxic").mapInArrow(measured, "x array<double>, y int").collect()
-    shared.unpersist()
+    fitted = texts.join(F.broadcast(calibrate.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
+    rows = _applied(fitted, model, _measured, "x array<double>, y int").collect()
     y = np.array([r.y for r in rows], float)
     if not len(y) or y.min() == y.max():
         return (sizes[1] + 0.5) / (sum(sizes.values()) + 2)
@@ -369,19 +475,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return model
 
 
-@settled
-def _scored(batches, shared, column):
-    for batch in batches:
-        model = shared.value
-        s = np.full(batch.num_rows, model) if isinstance(model, float) else model.scores(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, column])
+def _measured(model: Model, batch):
+    x = model.features(batch.column("text"))
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
 
 
 def with_score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, column: str = "toxicity") -> DataFrame:
     """``docs`` with a score of every whole text in a new ``column``; only the text is an input of it."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+    def scored(model, batch):
+        s = np.full(batch.num_rows, model) if isinstance(model, float) else model.scores(batch.column("text"))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, column])
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double"
-    return docs.mapInArrow(partial(_scored, shared=shared, column=column), schema)
+    return _applied(docs, train(docs, labels, per_class), scored, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

@@ -230,6 +230,23 @@ def hashes_of(names):
     return words(np.frombuffer(b" ".join(own), np.uint8), np.array([0, sum(map(len, own)) + len(own) - 1]))[3]
 
 
+def test_toxicity_of_a_table_too_large_for_a_file(spark, monkeypatch):
+    r = random.Random(23)
+    rows = [(i, " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(40))) + (" vile" if i % 3 == 0 else "")) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, rows[4][1]), (202, rows[4][1]), (203, "xx " * 5000), (None, rows[3][1])]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows[:150]], "doc_id long, toxic int")
+    want = sorted((str(x.doc_id), x.held_out, round(x.score, 9)) for x in toxicity.toxicity(df, y).collect())
+    for name, value in (("FILE_BYTES", 0), ("TABLE_BYTES", 60), ("PIECE_BYTES", 500), ("ASKING", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+    model = toxicity.train(df, y)
+    assert model.tables is not None and model.parts > 3
+    assert sorted((str(x.doc_id), x.held_out, round(x.score, 9)) for x in toxicity.toxicity(df, y).collect()) == want
+    assert toxicity.toxicity(df.limit(0), y).count() == 0
+    wide = df.selectExpr("doc_id", "text", "array(doc_id) AS slice", "1.5 AS part")
+    clean = toxicity.without_toxic(wide, y)
+    assert clean.dtypes == wide.dtypes and clean.count() == sum(s < 0.5 for _, _, s in want)
+
+
 def test_toxicity_keeps_words_of_one_slot_apart(spark):
     names = [f"x{i}" for i in range(6000)]
     slots, pair = {}, None
