@@ -13,7 +13,8 @@ its context.
 2. A bucket sorts locally by multikey quicksort (8 leading bytes, the next 8 and the context,
    doc_id). Runs of one context are compared with the run's least document.
 3. Where runs of one seed hold different contexts, the contexts themselves are fetched
-   and compared window by window, again against the least document of each window. A seed
+   and compared window by window, again against the least document of each window. A context
+   that this document holds in several places is fetched once and goes in all of them. A seed
    that reaches across a boundary (it is that of a splitter) is compared with its other buckets:
    its windows are combined by the tasks that fetch them and meet by their hash, wherever they were.
 4. The removed ranges meet the texts, bucketed by document, and are cut out.
@@ -265,7 +266,8 @@ def _bucket(key, table, length, buckets, shared):
     if r:
         order, group, start = _least(_key(r), r["doc"])
         r = {k: v[order] for k, v in r.items()}
-        rows.append(_by_doc(0, _spans(r, r["doc"] > r["doc"][start][group], length), buckets))
+        later = r["doc"] > r["doc"][start][group]
+        rows.append(_by_doc(0, _spans(r, later, length), buckets))
         head = {k: v[start] for k, v in r.items()}
         new = np.concatenate([[True], (head["k0"][1:] != head["k0"][:-1]) | (head["k1"][1:] != head["k1"][:-1])])
         seed = np.cumsum(new) - 1
@@ -278,8 +280,12 @@ def _bucket(key, table, length, buckets, shared):
         inside = ((contexts > 1) & (least < most))[seed] & ~across
         # Seeds are dealt anew: which of them have contexts to compare does not follow their order.
         to = (mix(head["k0"] ^ head["k1"]) % _U(buckets * SPREAD)).astype(np.int32)
+        # A context goes wherever its least document holds it; one of the seed's least document stays, and one place will do.
+        one = np.zeros(len(group), bool)
+        one[start] = True
         for kind, ask in ((1, inside), (2, across)):
-            rows.append(_by_doc(kind, {c: head[c][ask] for c in ("doc", "tag", "a", "ma", "n")} | {"to": to[ask]}, buckets))
+            ask = ask[group] & ~later & (one | (across | (head["doc"] > least[seed]))[group])
+            rows.append(_by_doc(kind, {c: r[c][ask] for c in ("doc", "tag", "a", "n")} | {"to": to[group[ask]]}, buckets))
     return pa.Table.from_batches([_blocks(x for part in rows for x in part)])
 
 
@@ -312,30 +318,43 @@ def _windows(texts: list[bytes], r, length: int):
     return window_hash(_at(padded, len(text) + 48), base[owner] + step, length), owner, step
 
 
-def _merged(r, owner, step, hit, length: int):
-    """Spans of windows that go, neighbours of one context made one range."""
+def _placed(r, owner, of, at):
+    """Contexts are in several places, the i-th at at[i] if it is of[i]: for each place of each item, by its sorted owner, (item, doc, tag, place)."""
+    low = np.searchsorted(owner, of, "left")
+    count = np.searchsorted(owner, of, "right") - low
+    place = np.repeat(np.arange(len(of)), count)
+    item = np.arange(len(place)) + np.repeat(low - np.cumsum(count) + count, count)
+    return item, r["doc"][of[place]], r["tag"][of[place]], at[place]
+
+
+def _merged(r, of, at, owner, step, hit, length: int):
+    """Spans of windows that go, neighbours of one context made one range, wherever the context is."""
     hit = np.sort(hit)
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])
     first, last = hit[new], hit[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hit) - 1]])] if len(hit) else hit
-    o = owner[first]
-    return {"doc": r["doc"][o], "tag": r["tag"][o], "a": (r["a"][o] + step[first]).astype(np.uint32), "n": (step[last] - step[first] + length).astype(np.uint16)}
+    i, doc, tag, a = _placed(r, owner[first], of, at)
+    first, last = step[first][i], step[last][i]
+    return {"doc": doc, "tag": tag, "a": (a + first).astype(np.uint32), "n": (last - first + length).astype(np.uint16)}
 
 
-def _dealt(texts: list[bytes], r, length: int, buckets: int):
+def _dealt(texts: list[bytes], r, of, at, length: int, buckets: int):
     """Windows of contexts whose seed is in several buckets: those that an earlier document of this task holds go (kind 0), the others meet by hash (kind 3)."""
     h, owner, step = _windows(texts, r, length)
     doc = r["doc"][owner]
     order, group, start = _least([h], doc)
     later = doc[order] > doc[order][start][group]
-    yield from _by_doc(0, _merged(r, owner, step, order[later], length), buckets)
-    left = order[~later]
-    to = (h[left] % _U(buckets * SPREAD)).astype(np.int64)
+    yield from _by_doc(0, _merged(r, of, at, owner, step, order[later], length), buckets)
+    left = np.sort(order[~later])
+    i, doc, tag, a = _placed(r, owner[left], of, at)
+    left = left[i]
+    h, a = h[left], (a + step[left]).astype(np.uint32)
+    to = (h % _U(buckets * SPREAD)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     edges = np.searchsorted(to[by], np.arange(buckets * SPREAD + 1))
     for k in np.flatnonzero(np.diff(edges)):
-        x = left[by[edges[k]:edges[k + 1]]]
-        yield 3, int(k), pack({"h": h[x], "doc": doc[x], "tag": r["tag"][owner[x]], "a": (r["a"][owner[x]] + step[x]).astype(np.uint32)})
+        x = by[edges[k]:edges[k + 1]]
+        yield 3, int(k), pack({"h": h[x], "doc": doc[x], "tag": tag[x], "a": a[x]})
 
 
 def _fetch(docs, asks, length, buckets, held):
@@ -343,30 +362,51 @@ def _fetch(docs, asks, length, buckets, held):
     where, r = _ranges(asks)
     if not where or not docs.num_rows:
         return pa.Table.from_batches([_blocks([])])
-    rows, seen, parts, meta, size = [], set(), {1: [], 2: []}, {1: [], 2: []}, 0
+    # Distinct contexts of each document; the ask that each was first met by; for every ask, the context.
+    rows, seen, size = [], set(), 0
+    parts, meta, places = ({1: [], 2: []} for _ in range(3))
+
+    def found(kind):
+        of, at = np.array(places[kind], np.int64).reshape(-1, 2).T
+        return parts[kind], np.array(meta[kind], np.int64), of, at
 
     def across():
         nonlocal size
-        if parts[2]:
-            rows.extend(_dealt(parts[2], {k: v[np.array(meta[2])] for k, v in r.items()}, length, buckets))
-        parts[2], meta[2], size = [], [], 0
+        text, first, of, at = found(2)
+        if text:
+            rows.extend(_dealt(text, {c: r[c][first] for c in ("doc", "tag", "n")}, of, r["a"][at], length, buckets))
+        parts[2], meta[2], places[2], size = [], [], [], 0
 
     for key, text in zip(*_texts(docs)):
         if key not in where or key in seen:
             continue
         seen.add(key)
         i, j = where[key]
+        known, asked = {}, set()
         for at, a, n, kind in zip(range(i, j), r["a"][i:j].tolist(), r["n"][i:j].tolist(), r["kind"][i:j].tolist()):
-            parts[kind].append(text[a:a + n + length])
-            meta[kind].append(at)
+            if a in asked:
+                continue
+            asked.add(a)
+            context = text[a:a + n + length]
+            of = known.setdefault((kind, context), len(parts[kind]))
+            if of == len(parts[kind]):
+                parts[kind].append(context)
+                meta[kind].append(at)
+            places[kind].append((of, at))
             size += n + 1 if kind == 2 else 0
         if size >= held:
             across()
     across()
-    at, text = np.array(meta[1], np.int64), parts[1]
-    for to in np.unique(r["to"][at]):
-        mine = np.flatnonzero(r["to"][at] == to)
-        rows.append((1, int(to), pack({c: r[c][at[mine]] for c in ("doc", "tag", "a", "n")} | {"text": np.frombuffer(b"".join(text[i] for i in mine), np.uint8)})))
+    text, first, of, at = found(1)
+    order = np.argsort(r["to"][first], kind="stable")
+    of, first = np.argsort(order)[of], first[order]
+    by = np.argsort(of, kind="stable")
+    of, at = of[by], at[by]
+    new = np.flatnonzero(np.diff(r["to"][first], prepend=-1))
+    for i, j in zip(new, [*new[1:], len(first)]):
+        p, q = np.searchsorted(of, (i, j))
+        rows.append((1, int(r["to"][first[i]]), pack({c: r[c][first[i:j]] for c in ("doc", "tag", "n")} | {
+            "of": (of[p:q] - i).astype(np.uint32), "at": r["a"][at[p:q]], "text": np.frombuffer(b"".join(text[k] for k in order[i:j]), np.uint8)})))
     return pa.Table.from_batches([_blocks(rows)])
 
 
@@ -379,8 +419,9 @@ def _compare(key, table, length, buckets):
     if 0 in by:
         rows.append(_by_doc(0, stack(by[0]), buckets))
     if 1 in by:
-        text = [b.pop("text").tobytes() for b in by[1]]
-        r = stack(by[1])
+        text, size = [b.pop("text").tobytes() for b in by[1]], np.cumsum([0, *(len(b["n"]) for b in by[1])])
+        r = stack([b | {"of": b["of"] + n} for b, n in zip(by[1], size)])
+        of, at = r.pop("of"), r.pop("at")
         h, owner, step = _windows(text, r, length)
         del text
         doc = r["doc"][owner]
@@ -388,7 +429,7 @@ def _compare(key, table, length, buckets):
         doc = doc[order]
         later = order[doc > doc[start][group]]
         del h, group, order, doc
-        rows.append(_by_doc(0, _merged(r, owner, step, later, length), buckets))
+        rows.append(_by_doc(0, _merged(r, of, at, owner, step, later, length), buckets))
     if 3 in by:
         r = stack(by[3])
         order, group, start = _least([r["h"]], r["doc"])
@@ -476,7 +517,7 @@ def _ranged(docs: DataFrame, length: int):
     packed_schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in kinds) + ", _null boolean, _to int"
     pack_texts = partial(_packed, buckets=buckets)
     asked = found.where("kind > 0")
-    slim_packed = slim.mapInArrow(pack_texts, "_id long, _tag int, text binary, _null boolean, _to int")
+    slim_packed = slim.mapInArrow(pack_texts, f"_id long, _tag {kinds['_tag'].dataType.simpleString()}, text binary, _null boolean, _to int")
     fetch, compare = partial(_fetch, length=length, buckets=buckets, held=HELD_WINDOWS), partial(_compare, length=length, buckets=buckets)
     contexts = slim_packed.groupBy("_to").cogroup(by(asked)).applyInArrow(lambda a, b: fetch(a, b), BLOCKS)
     edges = by(contexts).applyInArrow(lambda key, t: compare(key, t), BLOCKS)
@@ -487,7 +528,7 @@ def _ranged(docs: DataFrame, length: int):
 def _prepared(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     twice = docs.groupBy("_id").count().where("count > 1").limit(1).count()
-    return docs.withColumn("_tag", F.pmod(F.xxhash64("text"), F.lit(65521)).cast("int") if twice else F.lit(0))
+    return docs.withColumn("_tag", F.xxhash64("text") if twice else F.lit(0))
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -180,6 +180,29 @@ def test_repeated_rows_and_null_ids_keep_their_own_bytes(spark):
     assert suffix.repeated_bytes(df.limit(0), 50).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [16 << 20, 128])
+def test_what_a_document_repeats_goes_in_every_place(spark, monkeypatch, bucket):
+    """The later document holds a piece of the earlier one several times, ever in the same surroundings, in one row or in two of one id."""
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(suffix, "HELD_WINDOWS", 300)
+    r = random.Random(11)
+    junk = lambda n: "".join(r.choice("ijklmnopqrstuv ") for _ in range(n))
+    rows = []
+    for i in range(12):
+        piece, before, after = junk(90), junk(60), junk(60)
+        again = before + piece + after
+        rows += [(3 * i, junk(70) + piece + junk(70)), (3 * i + 1, junk(30) + (again + junk(30)) * 3 + again), (3 * i + 2, again + junk(20)), (3 * i + 2, junk(20) + again)]
+    got = sorted(map(tuple, suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()), key=str)
+    assert got == cut_by_hand(rows, 50)
+
+
+def test_many_different_rows_of_one_id_are_told_apart(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(0, passage)] + [(5, f"{i} {passage}" if i % 2 else f"{i} and nothing else that any other row would hold, {i * i * i} times over") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix.repeated_bytes(df, 50).collect()), key=str) == cut_by_hand(rows, 50)
+
+
 def test_without_repeats_keeps_columns_and_valid_text(spark):
     shared = "é" * 40
     rows = [(0, "aß" + shared + "b", "s", 99), (1, "cé" + shared + "d", None, 99), (2, None, "s", None)]
